@@ -60,7 +60,7 @@ def paths(messages: DataFrame) -> DataFrame:
     found = leaves.select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("place"))
     for k in reversed(range(len(jumps))):
         far = found.join(jumps[k], ["key", "node"]).select("key", "leaf", F.col("parent").alias("node"), (F.col("place") + (1 << k)).alias("place"))
-        found = found.unionByName(far)
+        found = saved(found.unionByName(far))  # else every step would double the plan
     return found
 
 
@@ -71,6 +71,7 @@ def format_trees(messages: DataFrame, *, branches: int | None = None, trained_ro
     take; None takes all.
     """
     messages = messages.select(F.when(F.col("conv").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("conv").cast("string"))).alias("key"), "conv", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    messages = saved(messages)
     marker = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
     turn = messages.select("key", "conv", "node", "score", marker.alias("marker"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("learn"))
     rows = paths(messages).join(turn, ["key", "node"])
