@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import saved
+from skein.llm.shared import free_shuffles, saved
 from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 
 #: Ratio of a band's sizes, and fragments in which overlaps are counted.
@@ -130,6 +130,7 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
 
     Two documents link if 100 * intersection >= numerator * union of their sets of size-word shingles.
     """
+    free_shuffles(docs.sparkSession)
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = saved(_scan(docs, size, _labels, "doc_id long, n long, s1 long, s2 long", ["doc_id", "n", "s1", "s2"]))
     classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("head"))

@@ -33,6 +33,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have shuffle files removed as soon as the query that wrote them ends; what is used again is saved."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def jit_sized_methods(spark: SparkSession) -> None:
     """Have stages whose generated method the JVM would not compile (over 8000 bytes) split into small methods."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
