@@ -132,12 +132,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     # the texts of hit documents alone are read again; their ids are broadcast if they are few
     few = ids.count() <= BROADCAST_DOCS
     hit_texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    rows = hit_texts.join(hits, "doc_id").withColumn("hashes", words(F.col("text")))
+    rows = hit_texts.select("doc_id", words(F.col("text")).alias("hashes")).join(hits, "doc_id")
     wanted = items.select("item_id", F.col("hashes").alias("item"), shingles(F.col("hashes")).alias("item_shingles"))
     rows = rows.join(F.broadcast(wanted) if items.count() <= BROADCAST_ITEMS else wanted, "item_id")
     reach = F.greatest(F.col("start") - SHIFT, F.lit(0))
     rows = rows.select("doc_id", "item_id", "item_shingles", F.size("item").alias("words"), "start", reach.alias("from"), F.slice("hashes", reach + 1, F.size("item") + 2 * SHIFT).alias("near"))
-    # rows may repeat an id, and windows near each other give the same pair
+    # no window here can share more shingles than all of them together do, so most hits end before they are compared
+    every = shingles(F.col("near"))
+    shared = F.size(F.array_intersect("item_shingles", every)) + F.size("item_shingles") - F.size(F.array_distinct("item_shingles"))
+    rows = rows.filter(shared >= threshold * F.size("item_shingles"))
     at = lambda shift: similarity(F.col("item_shingles"), shingles(F.slice("near", F.greatest(F.col("start") + shift - F.col("from") + 1, F.lit(1)), F.col("words"))))
     rows = rows.withColumn("exact", at(F.lit(0)))
     tries = F.when(F.col("exact") >= 1, F.array(F.struct(F.col("exact").alias("similarity"), F.lit(0).alias("shift")))).otherwise(
