@@ -77,8 +77,8 @@ def shingles(hashes: Column, k: int = SHINGLE) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two multisets: smaller counts over larger counts."""
     count = lambda x, e: F.size(F.filter(x, lambda v: v == e))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, e: s + F.least(count(a, e), count(b, e)))
-    return F.when(a == b, F.lit(1.0)).otherwise(let(both, lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1))))
+    both = lambda x: F.aggregate(F.array_intersect(a, x), F.lit(0), lambda s, e: s + F.least(count(a, e), count(x, e)))
+    return let(b, lambda x: F.when(a == x, F.lit(1.0)).otherwise(let(both(x), lambda m: m / F.greatest(F.size(a) + F.size(x) - m, F.lit(1)))))
 
 
 def _probes(df: DataFrame, hop: int, least: int, width: int) -> DataFrame:
