@@ -13,9 +13,9 @@ No key depends on how frequent an n-gram is, and a common passage makes two text
 segment lies in it.
 
 Links. In every bucket of a key all members are first compared with one of them, the pivot; where a bucket
-then still spans several components, its members outside the largest are compared with all those of other
-components. So no group of G texts costs G * G comparisons unless they are candidates that do not belong
-together, every pair that may link two components is compared exactly, and no bucket is cut short.
+then still spans several components, its members outside the largest are compared with those of other
+components, but for pairs whose unshared n-grams alone rule a link out. So a group of G texts does not cost
+G * G comparisons, every pair that may link two components is compared exactly, and no bucket is cut short.
 
 Copies (equal sets) are one class and join a component through it; their pairs are never listed.
 
@@ -150,16 +150,16 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
         return [keys[keep].view(np.int64), ids[of[keep]]]
 
     keys = _scan(docs, size, keyed, "key long, doc_id long", ["key", "doc_id"])
-    met = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").select("key", "pivot")
+    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
     # members of buckets with several documents, as heads of their classes; most keys are met by one document only
-    members = saved(keys.join(met, "key").filter("pivot <> doc_id").select("key", "pivot", "doc_id").distinct())
-    names = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
-    members = members.join(names, "doc_id").join(names.select(F.col("doc_id").alias("pivot"), F.col("head").alias("pivot_head")), "pivot")
-    members = saved(members.filter("head <> pivot_head").select("key", F.col("pivot_head").alias("pivot"), F.col("head").alias("doc_id")).distinct())
+    members = saved(keys.join(met, "key"))
+    names = heads.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("n").alias("n"))
+    members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n").distinct())
+    members = saved(_with_pivots(members))
 
-    first = saved(_verify(docs, members.select("pivot", "doc_id"), "pivot", "doc_id", size, numerator))
+    first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", size, numerator))
     found = connect(first)
-    rest = _across(members, found, heads, numerator)
+    rest = _across(docs, members, found, size, numerator)
     if not rest.isEmpty():
         second = _verify(docs, rest, "a", "b", size, numerator)
         found = connect(saved(first.unionByName(second).distinct()))
@@ -174,19 +174,48 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(belongs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(members: DataFrame, found: DataFrame, heads: DataFrame, numerator: int) -> DataFrame:
-    """Pairs (a, b) in one bucket but in different components, one of them outside the bucket's largest, not yet compared."""
-    sizes = heads.groupBy(F.col("head").alias("doc_id")).agg(F.max("n").alias("n"))
-    everyone = members.unionByName(members.select("key", "pivot", F.col("pivot").alias("doc_id"))).distinct()
-    everyone = everyone.join(found, everyone["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    everyone = everyone.join(sizes, "doc_id")
-    parts = everyone.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest")).filter("parts > 1").select("key", "largest")
-    open_ = saved(everyone.join(largest, "key"))
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Adds each bucket's pivot: the member that meets most others over all its buckets, so the least edited of a group."""
+    crowds = members.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    members = members.join(crowds, "key")
+    weights = members.groupBy("doc_id").agg(F.round(F.sum(F.log2("crowd")), 6).alias("weight"))
+    members = saved(members.join(weights, "doc_id").select("key", "doc_id", "n", "weight"))
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"].alias("pivot")).select("key", (-F.col("pivot")).alias("pivot"))
+    return members.drop("weight").join(pivots, "key")
+
+
+def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, numerator: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components, have not been compared and may link.
+
+    An n-gram that no other document of these buckets has cannot be shared. With u of them, a set of a has at
+    most a - u in common with any other, which leaves out the documents of a group that are edited too much.
+    """
+    part = members.join(found, members["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Of each bucket with members of several components, the largest of these."""
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("crowd"))
+        return parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("crowd", "component"))["component"].alias("largest")).filter("parts > 1").select("key", "largest")
+
+    part = saved(part)
+    part = saved(part.join(several(part), "key").drop("largest"))
+    wanted = part.select("doc_id").distinct()
+    few = wanted.count() <= BROADCAST_DOCS
+
+    def listed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
+        return [np.repeat(ids, np.diff(limits)), grams.view(np.int64)]
+
+    grams = _scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"])
+    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     # pivots have been compared with all their bucket
-    open_ = open_.filter("doc_id <> pivot")
-    outside = open_.filter("component <> largest").select("key", F.col("doc_id").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
-    pairs = outside.join(open_, "key").filter((F.col("xc") != F.col("component")) & (100 * F.least("xn", "n") >= numerator * F.greatest("xn", "n")))
+    part = part.filter("doc_id <> pivot").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = part.groupBy("key").agg(F.min("n").alias("least"))
+    may = lambda common, both: (100 + numerator) * common >= numerator * both  # noqa: E731  common n-grams suffice for sets with so many in all
+    part = part.join(least, "key").filter(may(F.col("common"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100))))
+    part = saved(part.select("key", "doc_id", "n", "component", "common"))
+    part = saved(part.join(several(part), "key"))
+    outside = part.filter("component <> largest").select("key", F.col("doc_id").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("common").alias("xs"))
+    pairs = outside.join(part, "key").filter((F.col("xc") != F.col("component")) & may(F.least("xs", "common"), F.col("xn") + F.col("n")))
     return saved(pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct())
 
 
