@@ -13,8 +13,8 @@ No key depends on how frequent an n-gram is, and a common passage makes two text
 segment lies in it.
 
 Links. In every bucket of a key all members are first compared with one of them, the pivot; where a bucket
-then still spans several components, its members outside the largest are compared with those of other
-components, but for pairs whose unshared n-grams alone rule a link out. So a group of G texts does not cost
+then still spans several components, members of different ones are compared, but for pairs whose unshared
+n-grams alone rule a link out. So a group of G texts does not cost
 G * G comparisons, every pair that may link two components is compared exactly, and no bucket is cut short.
 
 Copies (equal sets) are one class and join a component through it; their pairs are never listed.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.shared import free_shuffles, saved
@@ -189,6 +189,7 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
     An n-gram that no other document of these buckets has cannot be shared. With u of them, a set of a has at
     most a - u in common with any other, which leaves out the documents of a group that are edited too much.
+    The rest meet by their n-grams, rarest first, where what follows in both still suffices for a link.
     """
     part = members.join(found, members["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
@@ -205,18 +206,24 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
     def listed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
         return [np.repeat(ids, np.diff(limits)), grams.view(np.int64)]
 
-    grams = _scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"])
+    grams = saved(_scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"]).distinct())
     alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     # pivots have been compared with all their bucket
     part = part.filter("doc_id <> pivot").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = part.groupBy("key").agg(F.min("n").alias("least"))
     may = lambda common, both: (100 + numerator) * common >= numerator * both  # noqa: E731  common n-grams suffice for sets with so many in all
     part = part.join(least, "key").filter(may(F.col("common"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100))))
-    part = saved(part.select("key", "doc_id", "n", "component", "common"))
-    part = saved(part.join(several(part), "key"))
-    outside = part.filter("component <> largest").select("key", F.col("doc_id").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("common").alias("xs"))
-    pairs = outside.join(part, "key").filter((F.col("xc") != F.col("component")) & may(F.least("xs", "common"), F.col("xn") + F.col("n")))
-    return saved(pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct())
+    part = part.join(several(part), "key")
+    left = saved(part.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")))
+    # rarest first, the first n-gram that two sets share bounds what they have in common by what follows it in each
+    grams = grams.join(left, "doc_id")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("crowd", "gram"))
+    ranked = grams.join(counts, "gram", "left").withColumn("crowd", F.coalesce("crowd", F.lit(1))).withColumn("rest", F.col("n") + 1 - place).filter("crowd > 1")
+    ranked = saved(ranked.filter(may(F.col("rest"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100)))).select("gram", "doc_id", "n", "component", "rest"))
+    other = ranked.select("gram", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("rest").alias("yrest"))
+    pairs = ranked.join(other, "gram").filter((F.col("doc_id") < F.col("y")) & (F.col("component") != F.col("yc")) & may(F.least("rest", "yrest"), F.col("n") + F.col("yn")))
+    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct())
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, size: int, numerator: int) -> DataFrame:
