@@ -38,6 +38,8 @@ from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 
 #: Ratio of a band's sizes, and fragments in which overlaps are counted.
 RATIO, FRAGMENTS = 1.5, 16
+#: Members of a bucket up to which all its pairs are listed; those of larger buckets meet by their rarest n-grams.
+CROWD = 64
 #: Documents with candidates up to which their ids are broadcast to the scan; beyond, the join shuffles.
 BROADCAST_DOCS = 1_000_000
 
@@ -189,7 +191,8 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
     An n-gram that no other document of these buckets has cannot be shared. With u of them, a set of a has at
     most a - u in common with any other, which leaves out the documents of a group that are edited too much.
-    The rest meet by their n-grams, rarest first, where what follows in both still suffices for a link.
+    The rest meet in their buckets, or if these hold more than CROWD of them by their n-grams, rarest first,
+    where what follows in both still suffices for a link.
     """
     part = members.join(found, members["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
@@ -206,24 +209,29 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
     def listed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
         return [np.repeat(ids, np.diff(limits)), grams.view(np.int64)]
 
-    grams = saved(_scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"]).distinct())
+    grams = saved(_scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"]))
     alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     # pivots have been compared with all their bucket
     part = part.filter("doc_id <> pivot").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = part.groupBy("key").agg(F.min("n").alias("least"))
     may = lambda common, both: (100 + numerator) * common >= numerator * both  # noqa: E731  common n-grams suffice for sets with so many in all
     part = part.join(least, "key").filter(may(F.col("common"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100))))
-    part = part.join(several(part), "key")
-    left = saved(part.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")))
+    part = saved(part.select("key", "doc_id", "n", "component", "least"))
+    crowds = part.groupBy("key").agg(F.count("*").alias("members"), F.count_distinct("component").alias("parts")).filter("parts > 1").select("key", "members")
+    part = saved(part.join(crowds, "key"))
+    few_x, few_y = (part.filter(F.col("members") <= CROWD).select("key", *(F.col(c).alias(c + e) for c in ("doc_id", "n", "component"))) for e in "xy")
+    near = few_x.join(few_y, "key").filter("doc_idx < doc_idy and componentx <> componenty").filter(100 * F.least("nx", "ny") >= numerator * F.greatest("nx", "ny"))
+    near = near.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"))
+    left = saved(part.filter(F.col("members") > CROWD).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")))
     # rarest first, the first n-gram that two sets share bounds what they have in common by what follows it in each
-    grams = grams.join(left, "doc_id")
+    grams = grams.join(left, "doc_id").distinct()
     counts = grams.groupBy("gram").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("crowd", "gram"))
     ranked = grams.join(counts, "gram", "left").withColumn("crowd", F.coalesce("crowd", F.lit(1))).withColumn("rest", F.col("n") + 1 - place).filter("crowd > 1")
     ranked = saved(ranked.filter(may(F.col("rest"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100)))).select("gram", "doc_id", "n", "component", "rest"))
     other = ranked.select("gram", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("rest").alias("yrest"))
     pairs = ranked.join(other, "gram").filter((F.col("doc_id") < F.col("y")) & (F.col("component") != F.col("yc")) & may(F.least("rest", "yrest"), F.col("n") + F.col("yn")))
-    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct())
+    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).unionByName(near).distinct())
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, size: int, numerator: int) -> DataFrame:
