@@ -5,12 +5,13 @@ hashes. The order is cut into fragments, each document's set thereby into segmen
 counted fragment by fragment and summed per pair.
 
 Candidates. Two sets with Jaccard t or more, of sizes a <= b, differ in at most d = (a + b)(1 - t) / (1 + t)
-n-grams. With more than d non-empty segments in one of them, one segment at least is the same in both. So
-sets are cut into a few more fragments than the largest d of their band of sizes (a set near the end of its
-band also as the next one is cut), and every non-empty segment is a key. A set with too few non-empty
-segments also has its n-grams of smallest hash as keys, (1 - t) of it and one more: two such sets share one.
-No key depends on how frequent an n-gram is, and a common passage makes two texts meet only where a whole
-segment lies in it.
+n-grams. With more than d segments of s or more n-grams in one of them, one of these at least is the same in
+both. So sets are cut into some more fragments than the largest d of their band of sizes (a set near the end
+of its band also as the next one is cut), and a set's keys are its segments of at least s n-grams, s being the
+largest number (up to LARGEST) that leaves more than d; the set with the smaller s has the common segment
+too. A set with too few non-empty segments also has its n-grams of smallest hash as keys, (1 - t) of it and
+one more: two such sets share one. No key depends on how frequent an n-gram is, and a common passage makes
+two texts meet only where a whole segment of both lies in it.
 
 Links. In every bucket of a key all members are first compared with one of them, the pivot; where a bucket
 then still spans several components, members of different ones are compared, but for pairs whose unshared
@@ -38,8 +39,12 @@ from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 
 #: Ratio of a band's sizes, and fragments in which overlaps are counted.
 RATIO, FRAGMENTS = 1.5, 16
+#: Fragments for candidates, as a multiple of one more than the differences; the largest s.
+SPARE, LARGEST = 1.25, 4
+#: Longs of a parity sketch.
+SKETCH = 8
 #: Members of a bucket up to which all its pairs are listed; those of larger buckets meet by their rarest n-grams.
-CROWD = 64
+CROWD = 32
 #: Documents with candidates up to which their ids are broadcast to the scan; beyond, the join shuffles.
 BROADCAST_DOCS = 1_000_000
 
@@ -63,23 +68,23 @@ def bands(largest: int, numerator: int) -> list[tuple[int, int, int]]:
     while not out or out[-1][0] <= largest:
         high = max(low + 1, int(low * RATIO))
         differ = 2 * (high - 1) * (100 - numerator) // (100 + numerator)
-        out.append((low, differ, 1 if not differ else int(np.ceil((differ + 1) * 1.05)) + 1))
+        out.append((low, differ, 1 if not differ else int(np.ceil((differ + 1) * SPARE)) + 1))
         low = high
     high = max(low + 1, int(low * RATIO))
     differ = 2 * (high - 1) * (100 - numerator) // (100 + numerator)
-    return [*out, (low, differ, 1 if not differ else int(np.ceil((differ + 1) * 1.05)) + 1)]
+    return [*out, (low, differ, 1 if not differ else int(np.ceil((differ + 1) * SPARE)) + 1)]
 
 
-def _segments(grams: np.ndarray, sizes: np.ndarray, fragments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the non-empty segments of sets cut into fragments equal ranges of the order, and the set of each."""
+def _segments(grams: np.ndarray, sizes: np.ndarray, fragments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the non-empty segments of sets cut into fragments equal ranges of the order, the set of each, and its size."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     f = fragments.astype(np.uint64)[owner]
     place = ((grams >> np.uint64(32)) * f) >> np.uint64(32)
     begin = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(place, prepend=np.uint64(0)) != 0))
     if not len(begin):
-        return grams[:0], owner[:0]
+        return grams[:0], owner[:0], owner[:0]
     content = np.add.reduceat(mix(grams), begin)
-    return mix(content + place[begin] * _FRAGMENT + f[begin] * _SCHEME), owner[begin]
+    return mix(content + place[begin] * _FRAGMENT + f[begin] * _SCHEME), owner[begin], np.diff(begin, append=len(grams))
 
 
 def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +102,14 @@ def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.n
         if not len(at):
             continue
         b = band[at] + ahead
-        keys, owner = _segments(grams[np.repeat(use, sizes)], sizes[at], fragments[b])
-        weak[at] |= np.bincount(owner, minlength=len(at)) <= differ[b]
-        out.append(keys)
-        of.append(at[owner])
+        keys, owner, large = _segments(grams[np.repeat(use, sizes)], sizes[at], fragments[b])
+        least = np.zeros(len(at), np.int64)
+        for s in range(1, LARGEST + 1):
+            least[np.bincount(owner[large >= s], minlength=len(at)) > differ[b]] = s
+        weak[at] |= least == 0
+        keep = large >= least[owner]
+        out.append(keys[keep])
+        of.append(at[owner[keep]])
     for i in np.flatnonzero(weak).tolist():
         few = sizes[i] - -(-numerator * sizes[i] // 100) + 1
         out.append(mix(grams[limits[i] : limits[i] + few] + _SCHEME))
@@ -122,9 +131,17 @@ def _scan(docs: DataFrame, size: int, body, schema: str, names: list[str]) -> Da
 
 
 def _labels(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
-    """Of every document: its id, the size of its set and two hashes of the set."""
+    """Of every document: its id, the size of its set, two hashes of the set and its parity sketch.
+
+    A sketch has a bit for each of 64 * SKETCH ranges of n-grams, set if the set has an odd number of them. Two sets
+    differ in at least as many n-grams as their sketches differ in bits.
+    """
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + k), dtype=np.uint64)]) for k in (np.uint64(1), np.uint64(2))]
-    return [ids, np.diff(limits).astype(np.int64), *((s[limits[1:]] - s[limits[:-1]]).view(np.int64) for s in sums)]
+    bits = 64 * SKETCH
+    cell = np.repeat(np.arange(len(ids)), np.diff(limits)) * bits + (mix(grams + np.uint64(3)) % np.uint64(bits)).astype(np.int64)
+    parity = np.packbits((np.bincount(cell, minlength=len(ids) * bits) & 1).astype(np.uint8)).view(np.int64)
+    sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parity) + 1, SKETCH), pa.int32()), pa.array(parity))
+    return [ids, np.diff(limits).astype(np.int64), *((s[limits[1:]] - s[limits[:-1]]).view(np.int64) for s in sums), sketch]
 
 
 def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,14 +151,17 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
     """
     free_shuffles(docs.sparkSession)
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = saved(_scan(docs, size, _labels, "doc_id long, n long, s1 long, s2 long", ["doc_id", "n", "s1", "s2"]))
+    every = saved(_scan(docs, size, _labels, "doc_id long, n long, s1 long, s2 long, sketch array<long>", ["doc_id", "n", "s1", "s2", "sketch"]))
+    # rows of one id may have several sets; then there is no sketch, and it rules nothing out
+    sketches = every.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.when(F.min("s1") == F.max("s1"), F.max("sketch")).alias("sketch"))
+    sketches = saved(sketches)
     classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("head"))
     # rows (id, head): a document and the first one with its set; repeated ids may have several
     heads = saved(every.filter("n > 0").join(classes, ["s1", "s2"]).select("doc_id", "head", "n").distinct())
 
     def keyed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, seen: set[int]) -> list:
         """Keys of the sets that this task has not met yet."""
-        _, _, one, _ = _labels(ids, grams, limits, seen)
+        _, _, one, *_ = _labels(ids, grams, limits, seen)
         fresh = np.zeros(len(ids), bool)
         for i, s in enumerate(one.tolist()):
             if s not in seen:
@@ -159,11 +179,11 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
     members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n").distinct())
     members = saved(_with_pivots(members))
 
-    first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", size, numerator))
+    first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", sketches, size, numerator))
     found = connect(first)
     rest = _across(docs, members, found, size, numerator)
     if not rest.isEmpty():
-        second = _verify(docs, rest, "a", "b", size, numerator)
+        second = _verify(docs, rest, "a", "b", sketches, size, numerator)
         found = connect(saved(first.unionByName(second).distinct()))
     # repeated ids tie their classes together
     repeated = every.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
@@ -191,18 +211,19 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
     An n-gram that no other document of these buckets has cannot be shared. With u of them, a set of a has at
     most a - u in common with any other, which leaves out the documents of a group that are edited too much.
-    The rest meet in their buckets, or if these hold more than CROWD of them by their n-grams, rarest first,
-    where what follows in both still suffices for a link.
+    The rest meet by their n-grams, rarest first, where what follows in both still suffices for a link. All of
+    this is for buckets of more than CROWD members; pairs of smaller ones are listed.
     """
     part = members.join(found, members["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
-    def several(rows: DataFrame) -> DataFrame:
-        """Of each bucket with members of several components, the largest of these."""
-        parts = rows.groupBy("key", "component").agg(F.count("*").alias("crowd"))
-        return parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("crowd", "component"))["component"].alias("largest")).filter("parts > 1").select("key", "largest")
-
+    # pivots have been compared with all their bucket
     part = saved(part)
-    part = saved(part.join(several(part), "key").drop("largest"))
+    open_ = part.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key", "members")
+    part = saved(part.join(open_, "key").filter("doc_id <> pivot"))
+    small_x, small_y = (part.filter(F.col("members") <= CROWD).select("key", *(F.col(c).alias(c + e) for c in ("doc_id", "n", "component"))) for e in "xy")
+    near = small_x.join(small_y, "key").filter("doc_idx < doc_idy and componentx <> componenty").filter(100 * F.least("nx", "ny") >= numerator * F.greatest("nx", "ny"))
+    near = near.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"))
+    part = part.filter(F.col("members") > CROWD)
     wanted = part.select("doc_id").distinct()
     few = wanted.count() <= BROADCAST_DOCS
 
@@ -211,18 +232,13 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
     grams = saved(_scan(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, listed, "doc_id long, gram long", ["doc_id", "gram"]))
     alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    # pivots have been compared with all their bucket
-    part = part.filter("doc_id <> pivot").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    part = part.join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = part.groupBy("key").agg(F.min("n").alias("least"))
     may = lambda common, both: (100 + numerator) * common >= numerator * both  # noqa: E731  common n-grams suffice for sets with so many in all
     part = part.join(least, "key").filter(may(F.col("common"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100))))
     part = saved(part.select("key", "doc_id", "n", "component", "least"))
-    crowds = part.groupBy("key").agg(F.count("*").alias("members"), F.count_distinct("component").alias("parts")).filter("parts > 1").select("key", "members")
-    part = saved(part.join(crowds, "key"))
-    few_x, few_y = (part.filter(F.col("members") <= CROWD).select("key", *(F.col(c).alias(c + e) for c in ("doc_id", "n", "component"))) for e in "xy")
-    near = few_x.join(few_y, "key").filter("doc_idx < doc_idy and componentx <> componenty").filter(100 * F.least("nx", "ny") >= numerator * F.greatest("nx", "ny"))
-    near = near.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"))
-    left = saved(part.filter(F.col("members") > CROWD).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")))
+    open_ = part.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
+    left = saved(part.join(open_, "key").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")))
     # rarest first, the first n-gram that two sets share bounds what they have in common by what follows it in each
     grams = grams.join(left, "doc_id").distinct()
     counts = grams.groupBy("gram").agg(F.count("*").alias("crowd")).filter("crowd > 1")
@@ -234,10 +250,18 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
     return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).unionByName(near).distinct())
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, size: int, numerator: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps of their segments are counted fragment by fragment and summed."""
-    pairs = saved(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, sketches: DataFrame, size: int, numerator: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps of their segments are counted fragment by fragment and summed.
+
+    Pairs whose sketches differ in more bits than linked sets differ in n-grams are left out before.
+    """
+    pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    for end in "ab":
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"{end}n"), F.col("sketch").alias(f"{end}s")), end)
+    apart = sum((F.bit_count(F.get("as", F.lit(i)).bitwiseXOR(F.get("bs", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    pairs = pairs.filter(F.coalesce((100 + numerator) * apart <= (100 - numerator) * (F.col("an") + F.col("bn")), F.lit(True)))
+    pairs = saved(pairs.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     few = wanted.count() <= BROADCAST_DOCS
 
     def cut(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
