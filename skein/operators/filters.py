@@ -53,13 +53,13 @@ def one_of(column: str, synonyms: Mapping[str, list[str]] | None = None) -> Pred
     return lambda v: F.col(column).isin((synonyms or {}).get(v, [v]))
 
 
-def any_bit(column: Column) -> Predicate:
-    return lambda v: column.bitwiseAND(int(v)) != 0
+def any_bit(column: str) -> Predicate:
+    return lambda v: F.col(column).bitwiseAND(int(v)) != 0
 
 
-def all_masks(column: Column) -> Predicate:
+def all_masks(column: str) -> Predicate:
     """Every mask of a comma list has a bit in common with the column."""
-    return lambda v: reduce(lambda a, b: a & b, [column.bitwiseAND(int(m)) != 0 for m in v.split(",")])
+    return lambda v: reduce(lambda a, b: a & b, [F.col(column).bitwiseAND(int(m)) != 0 for m in v.split(",")])
 
 
 def within(low: Column, high: Column, value: Column | int, none: int = -1) -> Column:

@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 # ---- filters
 
-PART_FILTERS = {"name": P.substring("p_name"), "brand": P.equals("p_brand"), "min_size": P.at_least("p_size"), "max_size": P.at_most("p_size"), "type": P.one_of("p_type"), "slots": P.any_bit(F.col("p_size")), "masks": P.all_masks(F.col("p_size"))}
+PART_FILTERS = {"name": P.substring("p_name"), "brand": P.equals("p_brand"), "min_size": P.at_least("p_size"), "max_size": P.at_most("p_size"), "type": P.one_of("p_type"), "slots": P.any_bit("p_size"), "masks": P.all_masks("p_size")}
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_name ILIKE '%A%' AND p_size >= 10 AND p_size <= 30 AND (p_size & 6) <> 0")
