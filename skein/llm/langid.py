@@ -28,7 +28,7 @@ from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 #: Hashed features, and words in a block of the chain.
 BUCKETS, BLOCK = 1 << 17, 32
 #: Labelled rows a language that the model is fitted to, and the longest text among them (a documented bound).
-SAMPLE_ROWS, SAMPLE_CHARS = 250, 6000
+SAMPLE_ROWS, SAMPLE_CHARS = 150, 3000
 UNKNOWN = "und"
 
 

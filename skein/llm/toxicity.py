@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 
 #: Labelled rows of each class that serve as examples, the longest text among them, and the terms kept (documented bounds).
-SAMPLE_ROWS, SAMPLE_CHARS, TERMS = 1500, 20_000, 512
+SAMPLE_ROWS, SAMPLE_CHARS, TERMS = 1500, 10_000, 512
 #: Neighbours that vote, examples in a block, lengths of stems in bytes, least chi-square of a term.
 K, BLOCK, STEMS, LEAST = 15, 64, (4, 5, 6), 25.0
 
@@ -138,13 +138,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def choose_terms(texts: list[str], labels: np.ndarray, share: float) -> np.ndarray:
-    """Hashes of the terms on which the label depends, by chi-square with classes weighted to their shares."""
-    data, offsets = texts_of(pa.array(texts, pa.string()))
-    terms, text = terms_of(Scan(data, offsets, ALPHA))
-    pairs = np.unique(np.stack([terms, text.astype(np.uint64)], 1), axis=0)
-    hashes, at = np.unique(pairs[:, 0], return_inverse=True)
-    toxic = labels[pairs[:, 1].astype(np.int64)]
+def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Hashes of the terms on which the label depends, by chi-square."""
+    found, owners = [], []
+    for first, _, data, offsets in slices(*texts_of(pa.array(texts, pa.string())), limit=1 << 19):
+        terms, text = terms_of(Scan(data, offsets, ALPHA))
+        order = np.lexsort((text, terms))
+        terms, text = terms[order], text[order]
+        fresh = np.ones(len(terms), bool)  # a term counts once a text
+        fresh[1:] = (terms[1:] != terms[:-1]) | (text[1:] != text[:-1])
+        found.append(terms[fresh])
+        owners.append(text[fresh] + first)
+    hashes, at = np.unique(np.concatenate(found), return_inverse=True)
+    toxic = labels[np.concatenate(owners)]
     yes, no = np.bincount(at, toxic), np.bincount(at, 1 - toxic)
     n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
     p, q = yes / n1, no / n0
@@ -180,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     y = np.array([picked[i] for i, _ in got])
     if len(set(y.tolist())) < 2:
         return none
-    vocabulary = Vocabulary(choose_terms([t for _, t in got], y, share))
+    vocabulary = Vocabulary(choose_terms([t for _, t in got], y))
     size = len(vocabulary.hashes)
     if not size:
         return none
@@ -199,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     df = {r[0]: r[1] for r in counted}
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(size)]))) + 1
     model = Model(vocabulary, idf, Index(np.zeros((0, size)), np.zeros(0)), (0.0, 0.0), share)
-    data, offsets = texts_of(pa.array([t for _, t in got], pa.string()))
-    text, terms, tf = vocabulary.count(data, offsets)
+    runs = [(first, *vocabulary.count(data, offsets)) for first, _, data, offsets in slices(*texts_of(pa.array([t for _, t in got], pa.string())), limit=1 << 19)]
+    text, terms, tf = (np.concatenate([r[k] + (r[0] if k == 1 else 0) for r in runs]) for k in (1, 2, 3))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     has = np.zeros(len(y), bool)
     has[text] = True
