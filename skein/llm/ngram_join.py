@@ -40,7 +40,7 @@ from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 #: Ratio of a band's sizes, and fragments in which overlaps are counted.
 RATIO, FRAGMENTS = 1.5, 16
 #: Fragments for candidates, as a multiple of one more than the differences; the largest s.
-SPARE, LARGEST = 1.25, 4
+SPARE, LARGEST = 1.2, 4
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Members of a bucket up to which all its pairs are listed; those of larger buckets meet by their rarest n-grams.
@@ -172,7 +172,7 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
         return [keys[keep].view(np.int64), ids[of[keep]]]
 
     keys = _scan(docs, size, keyed, "key long, doc_id long", ["key", "doc_id"])
-    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # members of buckets with several documents, as heads of their classes; most keys are met by one document only
     members = saved(keys.join(met, "key"))
     names = heads.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("n").alias("n"))
