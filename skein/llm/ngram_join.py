@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.shared import free_shuffles, saved
@@ -41,7 +41,7 @@ from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 RATIO, FRAGMENTS = 1.5, 16
 #: Fragments for candidates, as a multiple of one more than the differences; the largest s.
 SPARE, LARGEST = 1.2, 4
-#: Longs of a parity sketch.
+#: Longs of the shortest parity sketch; a sketch has at least as many bits as its set has n-grams.
 SKETCH = 8
 #: Members of a bucket up to which all its pairs are listed; those of larger buckets meet by their rarest n-grams.
 CROWD = 32
@@ -130,18 +130,40 @@ def _scan(docs: DataFrame, size: int, body, schema: str, names: list[str]) -> Da
     return docs.mapInArrow(run, schema)
 
 
+def _sums(grams: np.ndarray, limits: np.ndarray, salts: range) -> list[np.ndarray]:
+    """For every salt, a hash of each set: the sum of its n-grams' hashes."""
+    totals = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(k)), dtype=np.uint64)]) for k in salts)
+    return [(t[limits[1:]] - t[limits[:-1]]).view(np.int64) for t in totals]
+
+
 def _labels(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
     """Of every document: its id, the size of its set, two hashes of the set and its parity sketch.
 
-    A sketch has a bit for each of 64 * SKETCH ranges of n-grams, set if the set has an odd number of them. Two sets
-    differ in at least as many n-grams as their sketches differ in bits.
+    A sketch has a bit for each of 64 * SKETCH * 2**k ranges of n-grams, set if the set has an odd number of them,
+    with the least k that gives a bit an n-gram. Two sets differ in at least as many n-grams as their sketches
+    differ in bits; a longer sketch is folded to the length of a shorter one by the parity of its parts.
     """
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + k), dtype=np.uint64)]) for k in (np.uint64(1), np.uint64(2))]
-    bits = 64 * SKETCH
-    cell = np.repeat(np.arange(len(ids)), np.diff(limits)) * bits + (mix(grams + np.uint64(3)) % np.uint64(bits)).astype(np.int64)
-    parity = np.packbits((np.bincount(cell, minlength=len(ids) * bits) & 1).astype(np.uint8)).view(np.int64)
-    sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parity) + 1, SKETCH), pa.int32()), pa.array(parity))
-    return [ids, np.diff(limits).astype(np.int64), *((s[limits[1:]] - s[limits[:-1]]).view(np.int64) for s in sums), sketch]
+    sizes = np.diff(limits)
+    least = 64 * SKETCH
+    bits = least << np.ceil(np.log2(np.maximum(sizes, least) / least)).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    cell = starts[owner] + (mix(grams + np.uint64(3)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.packbits((np.bincount(cell, minlength=starts[-1]) & 1).astype(np.uint8)).view(np.int64)
+    sketch = pa.ListArray.from_arrays(pa.array(starts // 64, pa.int32()), pa.array(parity))
+    return [ids, sizes.astype(np.int64), *_sums(grams, limits, range(1, 3)), sketch]
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the longer folded to the length of the shorter; null if one is null."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    length = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        rest = F.sequence(F.lit(1), (F.size(x) / length).cast("int") - 1)
+        return F.when(F.size(x) == length, x).otherwise(F.aggregate(rest, F.slice(x, F.lit(1), length), lambda acc, i: F.zip_with(acc, F.slice(x, i * length + 1, length), xor)))
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda acc, x: acc + F.bit_count(x))
 
 
 def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +183,7 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
 
     def keyed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, seen: set[int]) -> list:
         """Keys of the sets that this task has not met yet."""
-        _, _, one, *_ = _labels(ids, grams, limits, seen)
+        (one,) = _sums(grams, limits, range(1, 2))
         fresh = np.zeros(len(ids), bool)
         for i, s in enumerate(one.tolist()):
             if s not in seen:
@@ -253,13 +275,15 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, sketches: DataFrame, size: int, numerator: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps of their segments are counted fragment by fragment and summed.
 
-    Pairs whose sketches differ in more bits than linked sets differ in n-grams are left out before.
+    Pairs whose sizes are too far apart for a link, or whose sketches differ in more bits than linked sets differ
+    in n-grams, are left out before.
     """
     pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     for end in "ab":
         pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"{end}n"), F.col("sketch").alias(f"{end}s")), end)
-    apart = sum((F.bit_count(F.get("as", F.lit(i)).bitwiseXOR(F.get("bs", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    pairs = pairs.filter(F.coalesce((100 + numerator) * apart <= (100 - numerator) * (F.col("an") + F.col("bn")), F.lit(True)))
+    apart = _bits_apart(F.col("as"), F.col("bs"))
+    may = (100 * F.least("an", "bn") >= numerator * F.greatest("an", "bn")) & ((100 + numerator) * apart <= (100 - numerator) * (F.col("an") + F.col("bn")))
+    pairs = pairs.filter(F.col("as").isNull() | F.col("bs").isNull() | may)
     pairs = saved(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     few = wanted.count() <= BROADCAST_DOCS
