@@ -180,3 +180,55 @@ def roam_box(x1: Column, x2: Column, y1: Column, y2: Column) -> Column:
 def padded_bounds_contain(x: Column, low: Column, high: Column, share: float = 0.15, least: float = 100.0, limit: float = 1e6) -> Column:
     pad = F.greatest((high - low) * share, F.lit(least))
     return x.between(low - pad, high + pad) & x.between(-limit, limit)
+
+
+# ---- words and templates
+
+def roman_upper(text: Column) -> Column:
+    """Words that are well-formed roman numerals in capitals; other words, and numeral letters in no valid order, stay."""
+    # fixed value: the form of a numeral up to 4999
+    form = "^(M{0,4})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+    words = F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), 1)
+    return F.array_join(F.transform(words, lambda w: F.when(F.upper(w).rlike(form), F.upper(w)).otherwise(w)), "")
+
+
+def fill_slots(text: Column, ticks: Column, base: Column, limit: Column, most: Column) -> Column:
+    """A description with its marks filled: %z the ticks; #n, $n and @n the size of the n-th base, limit and most (arrays).
+
+    A slot that the arrays do not have counts as 0.
+    """
+    marked = F.replace(F.coalesce(text, F.lit("")), F.lit("%z"), F.concat(F.lit("("), ticks.cast("string"), F.lit(" ticks)")))
+    parts = F.regexp_extract_all(marked, F.lit(r"([#$@][0-9]+|[#$@]|[^#$@]+)"), 1)
+
+    def filled(part: Column) -> Column:
+        at = F.substr(part, F.lit(2)).try_cast("int") - 1
+        value = lambda slots: F.abs(F.coalesce(F.get(slots, at), F.lit(0))).cast("string")
+        numbered = lambda mark: part.rlike(f"^[{mark}][0-9]+$")
+        return F.when(numbered("#"), value(base)).when(numbered("$"), value(limit)).when(numbered("@"), value(most)).otherwise(part)
+
+    return F.array_join(F.transform(parts, filled), "")
+
+
+def annotation_kind(label: Column) -> Column:
+    """zone-line, portal or null, by the first pattern that the label begins with."""
+    # fixed values: what labels of each kind begin with, in order; a portal that asks for a key is none
+    line = r"(?i)^(?:to|zone[\s-]*(?:in|out|line)|(?:exit|return)\s+to)\b"
+    known = r"(?i)^(?:knowledge|(?:the\s+)?plane\s+of\s+knowledge|p\.?\s*o\.?\s*k\.?)\s+(?:portal|book)\b"
+    portal = r"(?i)^(?:(?:an?\s+)?portals?|teleport(?:s|er|ers|ation)?|translocators?)\b"
+    keyed = portal + r".*\b(?:attun(?:e|er|ement)?|keys?)\b"
+    return F.when(label.rlike(line), "zone-line").when(label.rlike(known), "portal").when(label.rlike(keyed), F.lit(None).cast("string")).when(label.rlike(portal), "portal")
+
+
+# ---- viewport
+
+def fit_scale(width: Column, height: Column, view_width: float, view_height: float, padding: float = 0.0) -> Column:
+    """Units of screen a unit of world, so that a box fits; 1 for a box without extent."""
+    if min(view_width, view_height) <= 2 * padding or padding < 0:
+        raise ValueError("padding must leave a positive viewport area")
+    along = lambda extent, view: F.when(extent != 0, (view - 2 * padding) / extent)
+    return F.coalesce(F.least(along(width, view_width), along(height, view_height)), F.lit(1.0))
+
+
+def to_screen(x: Column, centre: Column, scale: Column, view: float) -> Column:
+    """Place on one axis of the screen of a place in the world."""
+    return (x - centre) * scale + view / 2

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalar as S
 from skein.operators import filters as P
-from skein.operators import graph, relational as R
+from skein.operators import graph, paths, relational as R
 from skein.sources import maps
 from skein.streaming.events import windowed_counts
 
@@ -288,6 +288,51 @@ def scalar_one_edit(t):
     return n.join(other, "n_regionkey").filter((F.col("n_nationkey") < F.col("k")) & S.within_one_edit(F.col("n_name"), F.col("b"))).select(F.col("n_name").alias("a"), "b")
 
 
+# ---- words, templates, paths
+
+@query("""WITH p AS (SELECT p_partkey, 'the Mix of xiv, iiii and did_i ' || ['mcmxc', 'vix', 'Iv', 'DC9'][p_size % 4 + 1] AS text FROM part)
+ SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE WHEN regexp_full_match(upper(w), '(M{0,4})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})') THEN upper(w) ELSE w END), 'string_agg', '') AS text FROM p""")
+def scalar_roman(t):
+    last = F.get(F.array(*map(F.lit, ("mcmxc", "vix", "Iv", "DC9"))), F.col("p_size") % 4)
+    return t("part").select("p_partkey", S.roman_upper(F.concat(F.lit("the Mix of xiv, iiii and did_i "), last)).alias("text"))
+
+
+@query("SELECT p_partkey, 'by ' || abs(p_size - 20) || ' to ' || p_size || ' at ' || (p_size * 2) || ' (5 ticks), 0 & # left' AS text FROM part")
+def scalar_slots(t):
+    n = F.col("p_size")
+    return t("part").select("p_partkey", S.fill_slots(F.lit("by #2 to $1 at @1 %z, #9 & # left"), F.lit(5), F.array(F.lit(1), n - 20), F.array(n), F.array(n * 2)).alias("text"))
+
+
+@query("""WITH b AS (SELECT s_nationkey, max(s_acctbal) - min(s_acctbal) AS w, max(s_suppkey) - min(s_suppkey) AS h, (max(s_acctbal) + min(s_acctbal)) / 2 AS centre, min(s_acctbal) AS low FROM supplier GROUP BY 1),
+ s AS (SELECT *, coalesce(least(CASE WHEN w <> 0 THEN 760 / w END, CASE WHEN h <> 0 THEN 560.0 / h END), 1) AS scale FROM b) SELECT s_nationkey, CAST(round((low - centre) * scale + 400) AS BIGINT) AS screen_low FROM s""")
+def spatial_viewport(t):
+    x, y = F.col("s_acctbal"), F.col("s_suppkey")
+    b = t("supplier").groupBy("s_nationkey").agg((F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h"), ((F.max(x) + F.min(x)) / 2).alias("centre"), F.min(x).alias("low"))
+    return b.select("s_nationkey", F.round(S.to_screen(F.col("low"), F.col("centre"), S.fit_scale(F.col("w"), F.col("h"), 800.0, 600.0, 20.0), 800.0)).cast("long").alias("screen_low"))
+
+
+@query("""SELECT 'zone' || (p_partkey % 100) AS file, kind, count(*) AS n FROM (SELECT DISTINCT p_partkey % 100 AS p_partkey, p_size, CASE p_size % 6 WHEN 0 THEN 'zone-line' WHEN 1 THEN 'portal' WHEN 2 THEN 'portal' WHEN 3 THEN 'zone-line' END AS kind FROM part)
+ WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def spatial_annotations(t):
+    labels = F.array(*map(F.lit, ("To_the Gate", "PoK Book", "a portal", "zone  line", "Portal: needs a key", "bank")))
+    f = lambda c: c.cast("float")
+    marks = t("part").select(F.concat(F.lit("zone"), (F.col("p_partkey") % 100).cast("string")).alias("file"), F.col("p_partkey").alias("line"), F.lit(3).alias("size"), F.get(labels, F.col("p_size") % 6).alias("label"), f(F.col("p_size")).alias("x"), f(F.lit(0)).alias("y"), f(F.lit(-0.0)).alias("z"))
+    return maps.annotations(marks).groupBy("file", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS i, c_custkey % 97 AS x, c_custkey % 31 AS y FROM customer),
+ g AS (SELECT c_nationkey, c_mktsegment FROM w GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 1000), m AS (SELECT c_nationkey, c_mktsegment, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, rest_to, rest_from FROM
+  (SELECT c_nationkey, c_mktsegment, x, y, lag(x) OVER s AS px, lag(y) OVER s AS py, x % 3 AS rest_to, lag(x) OVER s % 3 AS rest_from FROM w WINDOW s AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY i)) WHERE px IS NOT NULL),
+ v AS (SELECT c_nationkey, c_mktsegment, greatest(20, least(250, 2 * sum(d) / 18)) AS speed FROM m GROUP BY 1, 2)
+ SELECT c_nationkey || '/' || c_mktsegment AS path, CAST(round(sum(2 * greatest(180, d / speed * 1000) + 1000 * (rest_to + rest_from))) AS BIGINT) AS duration, sum(2 + CASE WHEN rest_to > 0 THEN 1 ELSE 0 END + CASE WHEN rest_from > 0 THEN 1 ELSE 0 END)::BIGINT AS n_events
+ FROM m JOIN g USING (c_nationkey, c_mktsegment) JOIN v USING (c_nationkey, c_mktsegment) GROUP BY 1""")
+def path_timelines(t):
+    path = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("path")
+    points = t("customer").select(path, F.col("c_custkey").alias("number"), (F.col("c_custkey") % 97).alias("x"), (F.col("c_custkey") % 31).alias("y"), F.lit(0).alias("z"), (F.col("c_custkey") % 97 % 3).alias("pause"))
+    meta = points.select("path", F.lit(3).alias("wander_type"), F.lit(1).alias("pause_type")).distinct()
+    return paths.timelines(points, meta, "path").select("path", F.round("duration_ms").cast("long").alias("duration"), F.size("events").cast("long").alias("n_events"))
+
+
 # ---- nested documents
 
 @query("SELECT r_name, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS doc FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.scalar import annotation_kind
+
 MAGIC, VERSION = b"EQM1", 1
 _HEADER, _GROUP, _POINT = struct.Struct("<4sHHII6f"), struct.Struct("<4BI"), struct.Struct("<3f4BHH")
 
@@ -125,3 +129,54 @@ def sound_manifest(entries: DataFrame) -> DataFrame:
     ok = F.col("path").rlike(r"^[a-z0-9_]+-[0-9a-f]{12}\.eqm$") & F.col("sha256").rlike(r"^[0-9a-f]{64}$") & (F.substring("sha256", 1, 12) == F.regexp_extract("path", r"-([0-9a-f]{12})\.eqm$", 1))
     ok = ok & F.col("bytes").between(40, 8 << 20) & (F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y"))
     return entries.filter(F.coalesce(ok, F.lit(False)))
+
+
+#: Annotations a map, the share of a map's extent and the least margin by which they may lie outside it.
+MOST_ANNOTATIONS, MARGIN_SHARE, LEAST_MARGIN = 256, 0.25, 64.0
+
+
+def annotations(marks: DataFrame, boxes: DataFrame | None = None, by: str = "file") -> DataFrame:
+    """Portals and lines between zones among a map's points: those of size 3 whose label says so, each once.
+
+    boxes (by, min_x, max_x, min_y, max_y) keeps points near their map only; points of a map without one go. A map
+    with more than MOST_ANNOTATIONS fails the query, as it does not fit the manifest.
+    """
+    # an underscore is a space, minus zero is zero
+    label = F.trim(F.regexp_replace(F.translate("label", "_", " "), r"[\s\x00-\x1f\x7f-\x9f]+", " "))
+    found = marks.filter("size = 3").withColumn("label", label).withColumn("kind", annotation_kind(F.col("label"))).filter("kind is not null")
+    found = found.withColumns({c: F.when(F.col(c) == 0, F.lit(0).cast(found.schema[c].dataType)).otherwise(F.col(c)) for c in "xyz"})
+    if boxes is not None:
+        found = found.join(boxes.select(by, "min_x", "max_x", "min_y", "max_y"), by)
+        for c in "xy":
+            margin = F.greatest(F.lit(LEAST_MARGIN), MARGIN_SHARE * (F.col(f"max_{c}") - F.col(f"min_{c}")))
+            found = found.filter(F.col(c).between(F.col(f"min_{c}") - margin, F.col(f"max_{c}") + margin))
+    once = found.groupBy(by, "kind", F.lower("label").alias("key"), "x", "y", "z").agg(F.min(F.struct("line", "label"))["label"].alias("label"))
+    counts = once.groupBy(by).agg(F.count("*").alias("n"))
+    checked = counts.withColumn("fits", F.when(F.col("n") <= MOST_ANNOTATIONS, F.lit(True)).otherwise(F.raise_error(F.lit("too many annotations on one map")).cast("boolean")))
+    return once.join(checked.filter("fits").select(by), by).select(by, "kind", "label", "x", "y", "z")
+
+
+def label_key(labels: DataFrame, column: str, name: str) -> DataFrame:
+    """labels with a key under which spellings of one destination meet: no marks, accents, articles or words for exits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{name: batch[column].map(_destination)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in labels.schema if f.name != name)
+    return labels.mapInPandas(run, f"{schema}, `{name}` string")
+
+
+# fixed values: words that stand for an exit, that may lead or end a label, and names of one place
+_EXITS = r"zone (?:in out|out in|in|out|line)|zoneline|exit|return|portal|teleport(?:er|ation)?"
+_LEADS = [r"^(?:the|a|an)\s+", r"^(?:(?:zone(?: (?:in|out|line))?|zoneline|exit|return|portal|teleport(?:er|ation)?)\s+)?to\s+", r"^(?:the|a|an)\s+", r"\s+(?:zone(?: line)?|zoneline|portal|book)$"]
+_ALIASES = {"p o k": "knowledge", "pok": "knowledge", "poknowledge": "knowledge", "plane of knowledge": "knowledge"}
+
+
+def _destination(label: str | None) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", re.sub(r"[\x00-\x1f\x7f]", " ", label or "").strip()[:160]).lower() if not unicodedata.category(c).startswith("M"))
+    key = re.sub(r"[^a-z0-9]+", " ", re.sub("[`'’]", "", plain)).strip()
+    for pattern in _LEADS:
+        key = re.sub(pattern, "", key)
+    key = key.strip()
+    return "" if re.fullmatch(_EXITS, key) else _ALIASES.get(key, key)

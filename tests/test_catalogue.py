@@ -80,3 +80,32 @@ def test_scalars(spark):
         S.strip_prefix(F.lit("TO Freeport"), "to").alias("label"), S.bracketed(F.lit("[1,2] go [x]")).alias("steps"),
     ).first()
     assert tuple(row) == ("1 and 12", None, 1.5, 9, 1, None, "Freeport", ["1,2", "x"])
+
+
+def test_timelines_skip_what_cannot_be_walked(spark):
+    from skein.operators.paths import timelines
+
+    points = spark.createDataFrame([(1, 2, 30.0, 1.0), (1, 1, 0.0, 9.0), (2, 1, 0.0, 0.0), (3, 1, 0.0, 0.0), (3, 2, None, 0.0), (3, 3, 40.0, 500.0), (4, 1, 0.0, 0.0), (4, 2, 9.0, 0.0)], "path int, number int, x double, pause double")
+    meta = spark.createDataFrame([(1, 3, 1), (2, 3, 1), (3, 4, 1), (4, 0, 1)], "path int, wander_type int, pause_type int")
+    got = {r.path: r for r in timelines(points.selectExpr("*", "0.0D y", "0.0D z"), meta, "path").collect()}
+    assert set(got) == {1, 3}
+    # 30 units at the least speed, 20 a second, to and fro; a rest of 1 s at the far end and of 9 s at the near one
+    assert [(e.kind, e.length_ms) for e in got[1].events] == [("move", 1500.0), ("pause", 1000.0), ("move", 1500.0), ("pause", 9000.0)]
+    assert got[1].loop and got[1].duration_ms == 13000.0 and not got[1].approximate
+    high = timelines(points.selectExpr("*", "0.0D y", "number * 80.0D z"), meta, "path").filter("path = 1").first()
+    assert abs(high.events[0].length_ms - 1000 * (30**2 + 20**2) ** 0.5 / 20) < 1e-6
+    assert got[3].approximate and got[3].duration_ms == 122000.0 and not got[3].loop
+
+
+def test_label_keys_and_annotation_bounds(spark):
+    from skein.sources import maps
+
+    labels = ["To the Plane of Knowledge", "Zone Line", "Exit to Café`s Gate", None, "PoK Book"]
+    got = maps.label_key(spark.createDataFrame(list(enumerate(labels)), "id int, label string"), "label", "key").orderBy("id").collect()
+    assert [r["key"] for r in got] == ["knowledge", "", "cafes gate", "", "knowledge"]
+    marks = spark.createDataFrame([("a", 1, 3, "To B", 1.0), ("a", 2, 3, "to b", 1.0), ("a", 3, 3, "To C", 900.0), ("a", 4, 2, "To D", 1.0), ("a", 5, 3, None, 1.0)], "file string, line int, size int, label string, x double").selectExpr("*", "0.0D y", "-0.0D z")
+    boxes = spark.createDataFrame([("a", 0.0, 10.0, 0.0, 10.0)], "file string, min_x double, max_x double, min_y double, max_y double")
+    assert [(r.kind, r.label, r.x, str(r.z)) for r in maps.annotations(marks, boxes).collect()] == [("zone-line", "To B", 1.0, "0.0")]
+    crowd = spark.range(300).selectExpr("'a' file", "id line", "3 size", "concat('To ', id) label", "0.0D x", "0.0D y", "0.0D z")
+    with pytest.raises(Exception, match="too many annotations"):
+        maps.annotations(crowd).collect()
