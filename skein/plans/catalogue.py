@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalar as S
 from skein.operators import filters as P
-from skein.operators import graph, paths, relational as R
+from skein.operators import effects, graph, paths, relational as R
 from skein.sources import maps
 from skein.streaming.events import windowed_counts
 
@@ -333,6 +333,17 @@ def path_timelines(t):
     return paths.timelines(points, meta, "path").select("path", F.round("duration_ms").cast("long").alias("duration"), F.size("events").cast("long").alias("n_events"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_size < 25 THEN 'Decrease' ELSE 'Increase' END || ' Armour by ' || abs(p_size - 25) || '%'
+ WHEN 1 THEN 'Increase Haste by ' || p_size || '% to ' || (p_size + 5) || '%' WHEN 2 THEN 'Block ' || p_size || ' of ' || (p_size + 5) END AS description FROM part""")
+def scalar_effect_text(t):
+    table = [(0, "standard", "Armour", "%", False), (1, "focus", "Haste", None, None), (2, "text", "Block #1 of $1", None, None)]
+    size = F.col("p_size").cast("long")
+    known = t("part").sparkSession.createDataFrame(table, "effect long, kind string, label string, unit string, per_tick boolean")
+    base = F.when(F.col("p_partkey") % 4 == 0, size - 25).otherwise(size)
+    slots = t("part").select("p_partkey", (F.col("p_partkey") % 4).cast("long").alias("effect"), F.lit(100).alias("formula"), base.alias("base"), (size + 5).alias("limit"), F.lit(0).alias("most"), F.lit(6).alias("ticks"), F.lit(9).alias("level"))
+    return effects.describe(slots, known, 70).select("p_partkey", "description")
+
+
 # ---- nested documents
 
 @query("SELECT r_name, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS doc FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")

@@ -109,3 +109,17 @@ def test_label_keys_and_annotation_bounds(spark):
     crowd = spark.range(300).selectExpr("'a' file", "id line", "3 size", "concat('To ', id) label", "0.0D x", "0.0D y", "0.0D z")
     with pytest.raises(Exception, match="too many annotations"):
         maps.annotations(crowd).collect()
+
+
+def test_effect_texts(spark):
+    from skein.operators.effects import describe, focus_text, up_to_level
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(2, "standard", "Attack", "", True), (7, "standard", "Health", "", True)], "effect int, kind string, label string, unit string, per_tick boolean")
+    slots = spark.createDataFrame([(1, 2, 102, 10, 0, 40, 0, 5), (2, 7, 107, -50, 0, 0, 6, 5), (3, 2, 123, 10, 0, 30, 0, 5), (4, 9, 100, 1, 0, 0, 0, 5)], "id int, effect int, formula int, base int, limit int, most int, ticks int, level int")
+    got = {r.id: r.description for r in describe(slots, table, 70).collect()}
+    assert got[1] == "Increase Attack by 15 (L5) to 40 (L30)"
+    assert got[2] == "Decrease Health by 49 per tick  (Decaying to 44 @ 1/tick)"
+    assert got[3].endswith("(Random: 10 to 30)") and got[4] is None
+    a = spark.range(1).select(*(focus_text(F.lit("X"), F.lit(x), F.lit(y), n) for x, y, n in ((5, 9, False), (9, 5, False), (-9, -2, False), (-2, -9, True), (4, 0, True))), up_to_level(F.lit(0)), up_to_level(F.lit(9))).first()
+    assert tuple(a) == ("Increase X by 5% to 9%", "Increase X by 9%", "Decrease X by 2% to 9%", "Increase X by 2% to 9%", "Decrease X by 4%", "", " up to level 9")
