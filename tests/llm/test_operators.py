@@ -218,3 +218,26 @@ def test_pipeline_and_names(spark):
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count() and "ids" in out.columns
+
+
+def test_sketches_bound_differences_of_long_texts(spark):
+    """Sketches of different lengths never differ in more bits than their sets in n-grams, and link what links."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skein.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64))
+    sets = [pool[:1000], pool[100:1130], pool[:5000], pool[4000:], pool[:400], pool[:512], pool[:513], pool[:0]]
+    limits = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    labels = ngram_join._labels(np.arange(len(sets)), np.concatenate(sets), limits, set())
+    assert [len(x) for x in labels[4].to_pylist()] == [16, 32, 128, 32, 8, 8, 16, 8]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels[4].to_pylist())], "i int, s array<long>")
+    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), ngram_join._bits_apart(F.col("a.s"), F.col("b.s")).alias("apart"))
+    found = {(r.i, r.j): r.apart for r in pairs.collect()}
+    assert len(found) == 28 and all(n <= len(np.setxor1d(sets[i], sets[j])) for (i, j), n in found.items())
+    assert found[5, 6] == 1 and found[2, 3] > 1000
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    docs = spark.createDataFrame([(1, " ".join(words[:1020])), (2, " ".join(words[:1040])), (3, " ".join(words[900:3000])), (4, " ".join([*words[900:2900], "x"]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
