@@ -232,3 +232,14 @@ def fit_scale(width: Column, height: Column, view_width: float, view_height: flo
 def to_screen(x: Column, centre: Column, scale: Column, view: float) -> Column:
     """Place on one axis of the screen of a place in the world."""
     return (x - centre) * scale + view / 2
+
+
+def to_world(place: Column, centre: Column, scale: Column, view: float) -> Column:
+    """Place in the world of a place on one axis of the screen; undoes to_screen."""
+    return (place - view / 2) / scale + centre
+
+
+def clamp_zoom(zoom: Column, least: float = 0.25, most: float = 16.0) -> Column:
+    if not 0 < least <= most:
+        raise ValueError("zoom limits must be positive and in order")
+    return F.least(F.lit(most), F.greatest(F.lit(least), zoom))

@@ -123,3 +123,16 @@ def test_effect_texts(spark):
     assert got[3].endswith("(Random: 10 to 30)") and got[4] is None
     a = spark.range(1).select(*(focus_text(F.lit("X"), F.lit(x), F.lit(y), n) for x, y, n in ((5, 9, False), (9, 5, False), (-9, -2, False), (-2, -9, True), (4, 0, True))), up_to_level(F.lit(0)), up_to_level(F.lit(9))).first()
     assert tuple(a) == ("Increase X by 5% to 9%", "Increase X by 9%", "Decrease X by 2% to 9%", "Increase X by 2% to 9%", "Decrease X by 4%", "", " up to level 9")
+
+
+def test_screen_and_zoom(spark):
+    from pyspark.sql import functions as F
+
+    from skein.functions import scalar as S
+
+    centre, scale = F.lit(7.0), S.fit_scale(F.lit(100.0), F.lit(0.0), 800.0, 600.0)
+    screen = S.to_screen(F.lit(20.0), centre, scale, 800.0)
+    got = spark.range(1).select(screen.alias("s"), S.to_world(screen, centre, scale, 800.0).alias("w"), S.fit_scale(F.lit(0.0), F.lit(0.0), 9.0, 9.0).alias("one"), *(S.clamp_zoom(F.lit(z)).alias(f"z{i}") for i, z in enumerate((0.1, 2.0, 99.0)))).first()
+    assert tuple(got) == (504.0, 20.0, 1.0, 0.25, 2.0, 16.0)
+    with pytest.raises(ValueError, match="padding"):
+        S.fit_scale(F.lit(1.0), F.lit(1.0), 10.0, 10.0, 5.0)
