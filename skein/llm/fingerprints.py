@@ -2,9 +2,9 @@
 
 A text is a sequence of words; a k-mer of words is an anchor if the smallest of its inner s-mers, by hash,
 stands at its start or at its end. Whether a k-mer is an anchor depends on nothing outside it, so an edit
-moves anchors only where it touches them. A fingerprint keeps the anchors of smallest hash with their
-places. Two fingerprints are compared on the smallest hashes of their union: the likeness is the share
-of those that both have at places whose distance is the one most of them agree on.
+moves anchors only where it touches them. A fingerprint keeps all anchors, each hash once with its first
+place, so repeats take nobody's room. Two fingerprints are compared on the union of their hashes: the
+likeness is the share of those that both have at places whose distance is the one most of them agree on.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint; a text with too few words
 for a k-mer has one anchor, its whole sequence; a short text and one that is hardly broken into words are
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.shared import let
 
-#: Words of a k-mer and of an s-mer, and anchors that a fingerprint keeps.
-K, S, KEEP = 5, 2, 32
+#: Words of a k-mer and of an s-mer.
+K, S = 5, 2
 #: Bits of an anchor's place; the other bits of a positive long are its hash.
 PLACE_BITS = 23
 #: Characters up to which, and mean characters a word from which, a text is taken by characters.
@@ -35,8 +35,8 @@ def words(text: Column) -> Column:
     return F.when((n <= SHORT) | (n > UNBROKEN * (spaces + 1)), F.split(text, "")).otherwise(F.split(text, " "))
 
 
-def with_anchors(df: DataFrame, text_col: str, out_col: str, k: int = K, s: int = S, keep: int = KEEP) -> DataFrame:
-    """Adds the kept anchors of a text (not null), smallest first: hash and place in one long."""
+def with_anchors(df: DataFrame, text_col: str, out_col: str, k: int = K, s: int = S) -> DataFrame:
+    """Adds the anchors of a text (not null), smallest first: hash and place in one long, each hash once, at its first place."""
     if s != 2 or k <= s:
         raise ValueError("inner substrings are pairs of words, shorter than k")
     w, g = f"{out_col}_words", f"{out_col}_pairs"
@@ -53,11 +53,13 @@ def with_anchors(df: DataFrame, text_col: str, out_col: str, k: int = K, s: int
         packed = F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, F.get(pairs, i + 2), end), PLACE_BITS + 1), PLACE_BITS) + F.least(i, F.lit((1 << PLACE_BITS) - 1)).cast("long")
         return F.when((i <= F.size(pairs) - 2 - last) & closed, packed)
 
+    hash_of = lambda v: F.shiftrightunsigned(v, PLACE_BITS)
     found = let(F.col(g), lambda pairs: F.transform(pairs, lambda x, i: anchor(pairs, x, i)))
+    found = let(F.sort_array(F.array_compact(found)), lambda v: F.filter(v, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(v, i - 1)))))
     whole = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(w)), PLACE_BITS + 1), PLACE_BITS))
     short = F.when(F.col(text_col) == "", F.array().cast("array<long>")).otherwise(whole)
-    df = df.withColumn(out_col, F.slice(F.sort_array(F.array_compact(found)), 1, keep))
-    # every k-mer sequence has an anchor, so the second case is that of texts without a k-mer
+    df = df.withColumn(out_col, found)
+    # few k-mers may have no anchor among them; such a text, like one without a k-mer, is taken whole
     df = df.withColumn(out_col, F.when(F.size(out_col) > 0, F.col(out_col)).otherwise(short))
     return df.drop(w, g)
 
@@ -67,21 +69,33 @@ def as_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda a: F.concat(F.lower(F.hex(F.shiftrightunsigned(a, PLACE_BITS))), F.lit("@"), F.lower(F.hex(a.bitwiseAND((1 << PLACE_BITS) - 1))))), ",")
 
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """Share of the smallest hashes of both that agree in hash and, up to one common shift, in place."""
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the hashes of both that agree in hash and, up to one common shift, in place; in the time of a sort."""
     mask = (1 << PLACE_BITS) - 1
-    hashes = lambda x: F.transform(x, lambda v: F.shiftrightunsigned(v, PLACE_BITS))
-
-    def compare(x: Column, y: Column) -> Column:
-        sample = F.slice(F.array_sort(F.array_union(hashes(x), hashes(y))), 1, keep)
-        common = F.array_intersect(F.array_intersect(hashes(x), hashes(y)), sample)
-        place = lambda v, h: F.filter(v, lambda e: F.shiftrightunsigned(e, PLACE_BITS) == h)[0].bitwiseAND(mask)
-        shifts = F.transform(common, lambda h: place(x, h) - place(y, h))
-        agree = lambda d: F.array_max(F.transform(F.array_distinct(d), lambda one: F.size(F.filter(d, lambda e: F.abs(e - one) <= 1))))
-        same = F.when(F.size(common) == 0, F.lit(0)).otherwise(let(shifts, agree))
-        return same / F.size(sample)
-
-    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(compare(a, b)).cast("double")
+    place = lambda v: F.shiftright(v, 1).bitwiseAND(mask)
+
+    def shifts(both: Column) -> Column:
+        """Of each hash that both have, its place in a less that in b. A value is hash, place and, in the last bit, whose it is."""
+        same = lambda v, w: F.shiftrightunsigned(v, PLACE_BITS + 1) == F.shiftrightunsigned(w, PLACE_BITS + 1)
+        shift = lambda v, w: (place(v) - place(w)) * (1 - 2 * v.bitwiseAND(1))
+        return F.sort_array(F.array_compact(F.transform(both, lambda v, i: let(F.get(both, i + 1), lambda w: F.when(same(v, w), shift(v, w))))))
+
+    def agree(runs: Column) -> Column:
+        """The most shifts within 1 of one. runs: each different shift and where it begins among the sorted ones, and an end."""
+        at = lambda i: F.get(runs, i)
+        low = lambda r, i: F.when((i > 0) & (at(i - 1)["shift"] == r["shift"] - 1), at(i - 1)["start"]).otherwise(r["start"])
+        high = lambda r, i: F.when(at(i + 1)["shift"] == r["shift"] + 1, at(i + 2)["start"]).otherwise(at(i + 1)["start"])
+        return F.array_max(F.transform(runs, lambda r, i: high(r, i) - low(r, i)))
+
+    def runs(d: Column) -> Column:
+        begins = F.transform(d, lambda x, i: F.when((i == 0) | (x != F.get(d, i - 1)), F.struct(x.alias("shift"), i.alias("start"))))
+        return F.concat(F.array_compact(begins), F.array(F.struct(F.lit(None).cast("long").alias("shift"), F.size(d).alias("start"))))
+
+    def compare(d: Column) -> Column:
+        return F.when(F.size(d) == 0, F.lit(0)).otherwise(let(runs(d), agree)) / (F.size(a) + F.size(b) - F.size(d))
+
+    both = F.sort_array(F.concat(F.transform(a, lambda v: F.shiftleft(v, 1)), F.transform(b, lambda v: F.shiftleft(v, 1) + 1)))
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(let(both, shifts), compare)).cast("double")
 
 
 #: Rows in a run of neighbours, and the most runs (so that their tops can be broadcast and held by the driver).

@@ -241,3 +241,31 @@ def test_sketches_bound_differences_of_long_texts(spark):
     words = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
     docs = spark.createDataFrame([(1, " ".join(words[:1020])), (2, " ".join(words[:1040])), (3, " ".join(words[900:3000])), (4, " ".join([*words[900:2900], "x"]))], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_fingerprints_of_repeats(spark):
+    """A line repeated often takes no room from the other anchors, whatever its hash."""
+    own = [" ".join(f"{side}{i}" for i in range(120)) for side in "ab"]
+    same = "one two three four five six seven eight nine ten. "
+    rows = spark.createDataFrame([(k, same * 200 + own[k]) for k in range(2)], "doc_id long, text string")
+    got = fingerprints.fingerprint(rows).collect()
+    hashes = [{a.split("@")[0] for a in r.fingerprint.split(",")} for r in got]
+    for r, h in zip(got, hashes, strict=True):
+        assert len(h) == len(r.fingerprint.split(",")) > 40 and 0 < r.near_next < 0.3
+    assert got[0].near_next == got[1].near_next <= len(hashes[0] & hashes[1]) / len(hashes[0] | hashes[1])
+
+
+def test_likeness_by_hand(spark):
+    import random
+
+    bits, rng = fingerprints.PLACE_BITS, random.Random(4)
+    rows, want = [], []
+    for k in range(60):
+        pool = rng.sample(range(1 << 40), 30)
+        x, y = ({h: rng.randrange(1 + k // 3) for h in rng.sample(pool, rng.randint(1, 30))} for _ in range(2))
+        d = [x[h] - y[h] for h in x.keys() & y.keys()]
+        want.append(1.0 if x == y else max((sum(abs(e - one) <= 1 for e in d) for one in d), default=0) / len(x.keys() | y.keys()))
+        rows.append((k, *(sorted((h << bits) + p for h, p in z.items()) for z in (x, y))))
+    table = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    got = {r.k: r.near for r in table.select("k", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert all(abs(got[k] - w) < 1e-9 for k, w in enumerate(want))
