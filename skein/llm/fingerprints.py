@@ -7,8 +7,8 @@ place, so repeats take nobody's room. Two fingerprints are compared on the union
 likeness is the share of those that both have at places whose distance is the one most of them agree on.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint; a text with too few words
-for a k-mer has one anchor, its whole sequence; a short text and one that is hardly broken into words are
-taken by characters; equal texts have equal fingerprints; two empty fingerprints have likeness 1, an empty one and
+for a k-mer has one anchor, its whole sequence; two texts are compared by characters if one of them is short
+or hardly broken into words, else by words; equal texts have equal fingerprints; two empty fingerprints have likeness 1, an empty one and
 another 0; rows that share an id follow each other in the order of their texts; a single row's next
 document is itself.
 """
@@ -28,19 +28,27 @@ PLACE_BITS = 23
 SHORT, UNBROKEN = 256, 48
 
 
-def words(text: Column) -> Column:
-    """Words between spaces, or characters where a text is short or has hardly any spaces."""
+def by_characters(text: Column) -> Column:
+    """Whether a text is short or has hardly any spaces."""
     n = F.length(text)
     spaces = n - F.length(F.replace(text, F.lit(" ")))
-    return F.when((n <= SHORT) | (n > UNBROKEN * (spaces + 1)), F.split(text, "")).otherwise(F.split(text, " "))
+    return (n <= SHORT) | (n > UNBROKEN * (spaces + 1))
 
 
-def with_anchors(df: DataFrame, text_col: str, out_col: str, k: int = K, s: int = S) -> DataFrame:
-    """Adds the anchors of a text (not null), smallest first: hash and place in one long, each hash once, at its first place."""
+def words(text: Column, characters: Column) -> Column:
+    """Words between spaces, or characters."""
+    return F.when(characters, F.split(text, "")).otherwise(F.split(text, " "))
+
+
+def with_anchors(df: DataFrame, text_col: str, out_col: str, characters: Column, k: int = K, s: int = S) -> DataFrame:
+    """Adds the anchors of a text by words or by characters, smallest first: hash and place in one long, each hash once, at its first place.
+
+    The anchors of a null text are null.
+    """
     if s != 2 or k <= s:
         raise ValueError("inner substrings are pairs of words, shorter than k")
     w, g = f"{out_col}_words", f"{out_col}_pairs"
-    df = df.withColumn(w, F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, F.transform(words(F.col(text_col), characters), lambda x: F.xxhash64(x)))
     df = df.withColumn(g, F.when(F.size(w) >= k, F.zip_with(F.col(w), F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))))
     last = k - s  # the inner s-mers of the k-mer at i are pairs i .. i + last
 
@@ -60,7 +68,7 @@ def with_anchors(df: DataFrame, text_col: str, out_col: str, k: int = K, s: int
     short = F.when(F.col(text_col) == "", F.array().cast("array<long>")).otherwise(whole)
     df = df.withColumn(out_col, found)
     # few k-mers may have no anchor among them; such a text, like one without a k-mer, is taken whole
-    df = df.withColumn(out_col, F.when(F.size(out_col) > 0, F.col(out_col)).otherwise(short))
+    df = df.withColumn(out_col, F.when(F.col(text_col).isNotNull(), F.when(F.size(out_col) > 0, F.col(out_col)).otherwise(short)))
     return df.drop(w, g)
 
 
@@ -127,17 +135,28 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
-    The edited text has its last third replaced by the beginning of the next document. Rows without an
-    id have no place in the order and are left out.
+    The edited text has its last third replaced by the beginning of the next document. Both texts of a comparison
+    are taken by characters if either has to be, else by words; a fingerprint that is returned depends on its text only.
+    Rows without an id have no place in the order and are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_anchors(rows, "text", "anchors"), ["text", "anchors"])
+    rows = with_next(rows.withColumn("fine", by_characters(F.col("text"))), ["text", "fine"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr("next_text", F.lit(1), third)))
-    rows = rows.select("doc_id", "n_chars", "anchors", "next_anchors", "edited")
-    rows = with_anchors(rows, "edited", "edited_anchors")
+    rows = rows.withColumn("fine_edited", by_characters(F.col("edited")))
+    for text, fine in (("text", "fine"), ("edited", "fine_edited"), ("next_text", "next_fine")):
+        rows = with_anchors(rows, text, f"{text}_anchors", F.col(fine))
+        # beside a text that is taken by characters, one that is not has anchors by characters too
+        beside = F.col("fine_edited") | F.col("next_fine") if text == "text" else F.col("fine")
+        rows = rows.withColumn("coarse", F.when(beside & ~F.col(fine), F.col(text)))
+        rows = with_anchors(rows, "coarse", f"{text}_characters", F.lit(True))
+
+    def near(other: str, fine: str) -> Column:
+        both = lambda text: F.when(F.col("fine") | F.col(fine), F.coalesce(f"{text}_characters", f"{text}_anchors")).otherwise(F.col(f"{text}_anchors"))
+        return likeness(both("text"), both(other))
+
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("text_anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        near("edited", "fine_edited").alias("near_edited"), near("next_text", "next_fine").alias("near_next"),
     )

@@ -269,3 +269,16 @@ def test_likeness_by_hand(spark):
     table = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
     got = {r.k: r.near for r in table.select("k", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
     assert all(abs(got[k] - w) < 1e-9 for k, w in enumerate(want))
+
+
+def test_fingerprints_across_the_units(spark):
+    """Texts on either side of the sizes at which characters are taken have the likeness of what stands in both."""
+    prose = " ".join(f"word{i}" for i in range(60))
+    dense = "".join(chr(97 + i * i % 23) + str(i) for i in range(400))
+    texts = [prose[:258], prose[:255], prose[:300], prose[:303]]
+    got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.9 and got[3].near_next > 0.9
+    # edited, the first becomes short, and the last, which had no spaces, gets many
+    rows = [(2, prose[:303]), (1, "q q"), (4, dense), (3, " " * 900)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].near_edited > 0.5 and got[4].near_edited > 0.4
