@@ -137,10 +137,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     rows = rows.join(F.broadcast(wanted) if items.count() <= BROADCAST_ITEMS else wanted, "item_id")
     reach = F.greatest(F.col("start") - SHIFT, F.lit(0))
     rows = rows.select("doc_id", "item_id", "item_shingles", F.size("item").alias("words"), "start", reach.alias("from"), F.slice("hashes", reach + 1, F.size("item") + 2 * SHIFT).alias("near"))
-    # no window here can share more shingles than all of them together do, so most hits end before they are compared
+    # no window here can share more shingles than all of them together do, so most hits end before they are compared;
+    # an item of fewer words than a shingle is one shingle as long as itself, which those of near are not, so it is compared at once
     every = shingles(F.col("near"))
     shared = F.size(F.array_intersect("item_shingles", every)) + F.size("item_shingles") - F.size(F.array_distinct("item_shingles"))
-    rows = rows.filter(shared >= threshold * F.size("item_shingles"))
+    rows = rows.filter((F.col("words") < SHINGLE) | (shared >= threshold * F.size("item_shingles")))
     at = lambda shift: similarity(F.col("item_shingles"), shingles(F.slice("near", F.greatest(F.col("start") + shift - F.col("from") + 1, F.lit(1)), F.col("words"))))
     rows = rows.withColumn("exact", at(F.lit(0)))
     tries = F.when(F.col("exact") >= 1, F.array(F.struct(F.col("exact").alias("similarity"), F.lit(0).alias("shift")))).otherwise(

@@ -282,3 +282,12 @@ def test_fingerprints_across_the_units(spark):
     rows = [(2, prose[:303]), (1, "q q"), (4, dense), (3, " " * 900)]
     got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2].near_edited > 0.5 and got[4].near_edited > 0.4
+
+
+def test_leaks_of_tiny_items(spark):
+    """Items of 1 to 6 words stand in the middle of a long text and in a text of their own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(n, " ".join(f"W{i}" for i in range(20, 20 + n))) for n in range(1, 7)] + [(9, "w20 w22")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "w20 w21 w22"), (3, "nothing of it at all in here")], DOCS.replace(", lang string", ""))
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, n): (20, 1.0) for n in range(1, 7)} | {(2, n): (0, 1.0) for n in range(1, 4)}
