@@ -20,6 +20,9 @@ G * G comparisons, every pair that may link two components is compared exactly,
 
 Copies (equal sets) are one class and join a component through it; their pairs are never listed.
 
+The number of links of every document, if wanted, needs all pairs of a component's classes: they are counted by
+products of matrices, block by block, so that a group of G classes gives G * G / BLOCK rows and no list of pairs.
+
 Defined cases: a text without words, empty or null has an empty set, links with nothing and is its own
 component; a text with fewer words than n has one n-gram, its whole sequence; rows that repeat an id are
 one document whose component holds all of them; ties do not matter; a null id is left out.
@@ -48,6 +51,9 @@ CROWD = 32
 #: Documents with candidates up to which their ids are broadcast to the scan; beyond, the join shuffles.
 BROADCAST_DOCS = 1_000_000
 
+#: Classes of a component in a block whose links are counted at once, and cells of a part of its matrix.
+BLOCK, CELLS = 256, 1 << 22
+
 _FRAGMENT, _SCHEME = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -166,10 +172,10 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda acc, x: acc + F.bit_count(x))
 
 
-def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach).
+def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach), n_links if wanted.
 
-    Two documents link if 100 * intersection >= numerator * union of their sets of size-word shingles.
+    n_links is the number of other documents that link with it, copies included. Two documents link if 100 * intersection >= numerator * union of their sets of size-word shingles.
     """
     free_shuffles(docs.sparkSession)
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -215,7 +221,85 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
         links = first if rest.isEmpty() else first.unionByName(second)
         found = connect(saved(links.unionByName(ties).distinct()))
     belongs = names.join(found, names["head"] == found["node"], "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
-    return every.select("doc_id", F.col("n").alias("n_shingles")).join(belongs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(belongs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not count_links:
+        return out
+    out = saved(out)
+    counts = _n_links(docs, every, out.select("doc_id", "component_id").distinct(), size, numerator)
+    return out.join(counts, "doc_id", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def _n_links(docs: DataFrame, every: DataFrame, belongs: DataFrame, size: int, numerator: int) -> DataFrame:
+    """(doc_id, n_links) of documents with a set, counted over all pairs of classes of a component, block by block.
+
+    A link never leaves a component. Classes of one are dealt into blocks of about BLOCK; every two blocks are compared
+    in one group, which returns a count a class and no pairs. Pairs are listed only for ids that repeat with several
+    sets, where a document must not be counted twice.
+    """
+    sets = every.filter("n > 0").select("doc_id", "s1", "s2").distinct()
+    several = sets.groupBy("doc_id").agg((F.count("*") > 1).alias("multi"))
+    sets = saved(sets.join(several, "doc_id"))
+    classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.sum((~F.col("multi")).cast("long")).alias("mult"), F.max("multi").alias("odd"))
+    classes = saved(classes.join(belongs.withColumnRenamed("doc_id", "head"), "head"))
+    shared = saved(classes.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    placed = classes.join(F.broadcast(shared) if shared.count() <= BROADCAST_DOCS else shared, "component_id")
+    placed = saved(placed.withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")))
+    wanted = placed.select(F.col("head").alias("doc_id")).distinct()
+    few = wanted.count() <= BROADCAST_DOCS
+
+    def listed(ids: np.ndarray, grams: np.ndarray, limits: np.ndarray, _: set[int]) -> list:
+        return [*_sums(grams, limits, range(1, 3)), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(grams.view(np.int64)))]
+
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    grams = _scan(texts, size, listed, "s1 long, s2 long, grams array<long>", ["s1", "s2", "grams"]).dropDuplicates(["s1", "s2"])
+    rows = saved(placed.join(grams, ["s1", "s2"])).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "s1", "s2", "mult", "odd", "grams")
+
+    def count(table: pa.Table) -> pa.Table:
+        low, high, block = (table.column(c).to_numpy() for c in ("low", "high", "block"))
+        x, y = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+        s1, s2, mult = (table.column(c).to_numpy() for c in ("s1", "s2", "mult"))
+        odd = table.column("odd").to_numpy(zero_copy_only=False).astype(bool)
+        common, sizes = _common(table.column("grams").combine_chunks(), x, y)
+        link = 100 * common >= numerator * (sizes[x][:, None] + sizes[y][None, :] - common)
+        link &= x[:, None] != y[None, :]
+        i, j = np.nonzero(link & (odd[x][:, None] | odd[y][None, :]))
+        of, n, a, b = x, link @ mult[y], x[i], y[j]
+        if low[0] != high[0]:
+            of, n, a, b = np.concatenate([x, y]), np.concatenate([n, mult[x] @ link]), np.concatenate([a, b]), np.concatenate([b, a])
+        nothing = [pa.nulls(len(of), pa.int64())] * 2
+        counts = pa.table([s1[of], s2[of], *nothing, n.astype(np.int64)], names=["s1", "s2", "t1", "t2", "n"])
+        pairs = pa.table([s1[a], s2[a], s1[b], s2[b], np.zeros(len(a), np.int64)], names=["s1", "s2", "t1", "t2", "n"])
+        return pa.concat_tables([counts, pairs])
+
+    found = saved(rows.groupBy("component_id", "low", "high").applyInArrow(count, "s1 long, s2 long, t1 long, t2 long, n long"))
+    linked = found.groupBy("s1", "s2").agg(F.sum("n").alias("linked"))
+    near = classes.select("s1", "s2", "mult").join(linked, ["s1", "s2"], "left").select("s1", "s2", (F.col("mult") + F.coalesce("linked", F.lit(0))).alias("near"))
+    out = sets.join(near, ["s1", "s2"]).groupBy("doc_id").agg(F.max(F.when(F.col("multi"), F.lit(0)).otherwise(F.col("near") - 1)).alias("n_links"))
+    if several.filter("multi").isEmpty():
+        return out
+    pairs = found.filter("t1 is not null").select("s1", "s2", "t1", "t2").unionByName(classes.filter("odd").select("s1", "s2", F.col("s1").alias("t1"), F.col("s2").alias("t2")))
+    ends = sets.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("doc_id").alias("other"), F.col("multi").alias("other_multi"))
+    more = pairs.join(sets, ["s1", "s2"]).join(ends, ["t1", "t2"]).filter("doc_id <> other and (multi or other_multi)").select("doc_id", "other").distinct().groupBy("doc_id").agg(F.count("*").alias("more"))
+    return out.join(more, "doc_id", "left").select("doc_id", (F.col("n_links") + F.coalesce("more", F.lit(0))).alias("n_links"))
+
+
+def _common(grams: pa.ListArray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams sets x and sets y have in common, as a matrix, and the sizes of all sets."""
+    sizes = np.diff(grams.offsets.to_numpy()).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, crowd = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    keep = crowd[column] > 1  # what one set alone has is not shared
+    order = np.argsort(column[keep], kind="stable")
+    column, owner = column[keep][order], owner[keep][order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    common, width = np.zeros((len(x), len(y)), np.int64), max(1, CELLS // max(1, len(sizes)))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [a, a + width])
+        has = np.zeros((len(sizes), min(width, int(column[-1]) + 1 - a)), np.float32)
+        has[owner[i:j], column[i:j] - a] = 1
+        common += np.rint(has[x] @ has[y].T).astype(np.int64)
+    return common, sizes
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(read(spark, sf_dir, "documents"), size=4, numerator=85)
+    return ngram_join.components(read(spark, sf_dir, "documents"), size=4, numerator=85, count_links=True)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

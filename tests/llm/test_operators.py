@@ -291,3 +291,22 @@ def test_leaks_of_tiny_items(spark):
     docs = spark.createDataFrame([(1, text), (2, "w20 w21 w22"), (3, "nothing of it at all in here")], DOCS.replace(", lang string", ""))
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
     assert got == {(1, n): (20, 1.0) for n in range(1, 7)} | {(2, n): (0, 1.0) for n in range(1, 4)}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_join_counts_links(spark, monkeypatch, block):
+    """All links are counted, between copies, inside a group that some path joins already, and of ids that repeat."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[: 5 * k % 60] + [f"new{k}"] * (k % 3) + base[5 * k % 60 + k % 2 :])) for k in range(1, 25)]
+    rows += [(100 + k, " ".join(base[k : k + 45])) for k in range(12)] + [(200, "a b c"), (201, "A b  c"), (202, ""), (203, None), (204, "of its own entirely and so on")]
+    rows += [(300, rows[0][1]), (300, "a b c"), (300, rows[3][1]), (301, rows[0][1]), (301, rows[0][1]), (302, rows[5][1] + " z"), (302, rows[9][1])]
+    sets = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i].add(frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset())
+    link = lambda x, y: any(a and b and 100 * len(a & b) >= 85 * len(a | b) for a in x for b in y)
+    want = {i: sum(link(sets[i], sets[j]) for j in sets if j != i) for i in sets}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.components(table, size=4, numerator=85, count_links=True).collect()} == want
+    assert max(want.values()) > 12 and want[200] == 2 and want[204] == 0
