@@ -28,6 +28,19 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= k)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Every row with its place in the whole order, from 1: each range of the order is numbered by itself, after the sizes of those before."""
+    rows = df.orderBy(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes, before = sorted((r[0], r[1]) for r in rows.groupBy("__range").count().collect()), 0
+    starts = []
+    for at, n in sizes:
+        starts.append((at, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before")
+    return rows.join(F.broadcast(starts), "__range").withColumn(name, place).drop("__range", "__before")
+
+
 def fair_limit(groups: int, each: int = 25, total: int = 5000) -> int:
     """Rows a group so that all groups together stay within a total."""
     return min(each, max(1, total // max(1, groups)))

@@ -223,6 +223,13 @@ def sort_natural(t):
     return R.top_k(rows, ["all"], [S.natural_key(F.col("label"))], 1000).select("id", F.col("position").alias("place"))
 
 
+@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier")
+def sort_natural_all(t):
+    rows = t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Zone "), F.col("s_suppkey").cast("string")).alias("label"))
+    _shared(rows)
+    return R.ranked(rows, [S.natural_key(F.col("label"))], "place").select("id", "place")
+
+
 @query("""SELECT 'item' AS kind, 0 AS branch, p_partkey AS id, p_name AS name FROM part WHERE p_name ILIKE '%10%' UNION ALL SELECT 'vendor', 1, s_suppkey, s_name FROM supplier WHERE s_name ILIKE '%10%' UNION ALL SELECT 'owner', 2, c_custkey, c_name FROM customer WHERE c_name ILIKE '%10%'""")
 def set_tagged_search(t):
     named = lambda table, key, name: P.apply_filters(t(table), {"q": P.substring(name)}, {"q": "10"}).select(F.col(key).alias("id"), F.col(name).alias("name"))

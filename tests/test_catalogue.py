@@ -136,3 +136,10 @@ def test_screen_and_zoom(spark):
     assert tuple(got) == (504.0, 20.0, 1.0, 0.25, 2.0, 16.0)
     with pytest.raises(ValueError, match="padding"):
         S.fit_scale(F.lit(1.0), F.lit(1.0), 10.0, 10.0, 5.0)
+
+
+def test_natural_order_of_all_suppliers(spark, tmp_path):
+    """More suppliers than the ids and the rows that sort_natural is held to."""
+    spark.range(1, 2501, numPartitions=7).selectExpr("id as s_suppkey").orderBy("s_suppkey", ascending=False).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["sort_natural_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.place) for r in got) == [(k, k) for k in range(1, 2501)]
