@@ -59,15 +59,35 @@ def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    held: dict[str, int] = {}  # features of the open elements, and how many of them have each
+    places: dict[str, list[int]] = {}  # of every open tag, where it stands on the stack
     run: list[str] = []
     linked = links = depth_a = 0
 
+    def marks(tag: str, names: tuple[str, ...]) -> list[str]:
+        return ["in=" + tag, *("name=" + n for n in names)]
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, names))
+        for f in marks(tag, names):
+            held[f] = held.get(f, 0) + 1
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            tag, names = stack.pop()
+            places[tag].pop()
+            for f in marks(tag, names):
+                held[f] -= 1
+                if not held[f]:
+                    del held[f]
+
     def close() -> None:
         nonlocal linked, links
         if run:
             text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
             if text:
-                out.append(Block(text, _features(stack, text, linked, links)))
+                out.append(Block(text, _features(stack, held, text, linked, links)))
             run.clear()
         linked = links = 0
 
@@ -97,11 +117,9 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "body" or tag == "html":  # what follows still belongs to the page
                 close()
                 continue
-            for i in range(len(stack) - 1, max(-1, len(stack) - 400), -1):
-                if stack[i][0] == tag:
-                    close()
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                close()
+                cut(places[tag][-1])
             continue
         if tag in INLINE:
             if tag == "a":
@@ -119,26 +137,22 @@ def blocks_of(page: str) -> list[Block]:
         close()
         depth_a = 0
         while stack and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES:
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] in CLOSES[tag] and tag in CLOSES.get(stack[i][0], ()):
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in ("ul", "ol", "table", "dl", "nav", "div"):
                     break
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, _names(m[3])))
+            push(tag, _names(m[3]))
     close()
     return out
 
 
-def _features(stack: list[tuple[str, tuple[str, ...]]], text: str, linked: int, links: int) -> tuple[str, ...]:
-    found = {"bias"}
-    for tag, names in stack[-60:]:
-        found.add("in=" + tag)
-        for n in names:
-            found.add("name=" + n)
+def _features(stack: list[tuple[str, tuple[str, ...]]], held: dict[str, int], text: str, linked: int, links: int) -> tuple[str, ...]:
+    found = {"bias", *held}
     if stack:
         found.add("own=" + stack[-1][0])
         if len(stack) > 1:

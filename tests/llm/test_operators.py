@@ -310,3 +310,10 @@ def test_join_counts_links(spark, monkeypatch, block):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in ngram_join.components(table, size=4, numerator=85, count_links=True).collect()} == want
     assert max(want.values()) > 12 and want[200] == 2 and want[204] == 0
+
+
+def test_html_of_any_depth():
+    """Features of the outermost element reach the innermost, and a closing tag finds its element at any depth."""
+    deep, nav = html_text.blocks_of("<nav class='top-menu'>" + "<div>" * 900 + "<b>in</b>" + "<section>x" * 500 + "</nav><p>out</p>"), {"in=nav", "name=top", "name=menu"}
+    assert len(deep) == 502 and all(nav <= set(b.features) for b in deep[:-1]) and "in=div" in deep[0].features
+    assert deep[-1].text == "out" and not [f for f in deep[-1].features if f.startswith("name=") or f in ("in=nav", "in=div", "in=section")]
