@@ -7,21 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def chain_ranks(nodes: DataFrame, firsts: DataFrame, most: int = 1000) -> DataFrame:
+def chain_ranks(nodes: DataFrame, firsts: DataFrame) -> DataFrame:
     """Ranks of linked lists: (start, id, ordinal), from each first id along next_id.
 
-    Every step moves all lists on by one join; a list that comes back to a node it has ends there.
+    Every round doubles the ranked part of all lists and the length of the jumps; a list that comes back to a
+    node it has ends there. An id has one next_id.
     """
-    step = firsts.select(F.col("id").alias("start"), F.col("id")).distinct().withColumns({"ordinal": F.lit(1), "seen": F.array("id")})
-    links = nodes.select("id", "next_id").filter(F.col("next_id").isNotNull() & (F.col("next_id") != 0))
-    out = step.drop("seen")
-    for k in range(2, most + 1):
-        step = step.join(links, "id").filter(~F.array_contains("seen", F.col("next_id"))).select("start", F.col("next_id").alias("id"), F.lit(k).alias("ordinal"), F.array_append("seen", F.col("next_id")).alias("seen"))
-        step = step.join(nodes.select("id"), "id", "left_semi").select("start", "id", "ordinal", "seen").checkpoint()
-        if step.isEmpty():
-            break
-        out = out.unionByName(step.drop("seen"))
-    return out
+    ids = nodes.select(F.col("id").alias("to"))
+    jumps = nodes.select("id", F.col("next_id").alias("to")).filter(F.col("to").isNotNull() & (F.col("to") != 0)).join(ids, "to", "left_semi").select("id", "to").distinct().checkpoint()
+    out = firsts.select(F.col("id").alias("start"), F.col("id")).distinct().withColumn("ordinal", F.lit(1)).checkpoint()
+    length, n = 1, out.count()
+    while True:
+        ahead = out.join(jumps, "id").select("start", F.col("to").alias("id"), (F.col("ordinal") + length).cast("int").alias("ordinal"))
+        out = out.unionByName(ahead).groupBy("start", "id").agg(F.min("ordinal").alias("ordinal")).checkpoint()
+        before, n = n, out.count()
+        if n == before:
+            return out
+        jumps = jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")).checkpoint()
+        length *= 2
 
 
 def match_pairs(edges: DataFrame, group: str) -> DataFrame:

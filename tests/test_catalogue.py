@@ -143,3 +143,12 @@ def test_natural_order_of_all_suppliers(spark, tmp_path):
     spark.range(1, 2501, numPartitions=7).selectExpr("id as s_suppkey").orderBy("s_suppkey", ascending=False).write.parquet(f"{tmp_path}/supplier.parquet")
     got = catalogue.QUERIES["sort_natural_all"](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.place) for r in got) == [(k, k) for k in range(1, 2501)]
+
+
+def test_chain_of_any_length(spark):
+    """1100 nodes in one list, and a list that runs into a cycle."""
+    from skein.operators.graph import chain_ranks
+
+    nodes = spark.range(1, 1101).selectExpr("id", "if(id < 1100, id + 1, 0) as next_id").union(spark.createDataFrame([(2000, 2001), (2001, 2002), (2002, 2003), (2003, 2001), (2004, 9999)], "id long, next_id long"))
+    got = sorted((r.start, r.id, r.ordinal) for r in chain_ranks(nodes, nodes.filter("id in (1, 2000, 2004)")).collect())
+    assert got == [(1, k, k) for k in range(1, 1101)] + [(2000, 2000 + k, k + 1) for k in range(4)] + [(2004, 2004, 1)]
