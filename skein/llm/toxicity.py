@@ -1,23 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their stems (leading bytes). A bounded, class-balanced sample of labelled
-rows is the example set; terms that the labels depend on (chi-square) are its vocabulary.
-Document frequencies of those terms are counted over all documents. Examples stand in an
-inverted index cut into blocks; each term keeps its largest weight in every block, so blocks
-whose bound cannot reach the k-th best are skipped and the neighbours found are exact. Votes
-weighted by similarity give a raw value, and a logistic curve fitted to leave-one-out values
-of the examples, reweighted to the class shares of the labelled rows, makes it a probability.
-
-Defined cases: null and empty texts and texts without a vocabulary term have the share of
-toxic rows among the examples of that kind; equal texts have equal scores; ties between
-neighbours go to the earlier example; without labelled rows of both kinds every score is the
-share of toxic rows (0 if there are none).
+Terms are words and their stems (leading bytes). A bounded, class-balanced sample of labelled rows is the
+example set, and every term that stands in an example is in its index. A term weighs 1 + log of its count,
+times its inverse document frequency over all documents, times 1 + chi-square of its dependence on the label
+among the examples: plain weights let the many words of a topic outvote the few that a label depends on
+(README has figures). Terms that no example has can meet none and are in no norm.
+
+Search. Examples stand in an inverted index cut into blocks; the postings of a term are grouped by block,
+and each group keeps its largest weight. The sums of these bound every cosine in a block, blocks are
+opened from the highest bound on, and those whose bound does not reach the k-th best cosine stay closed, so
+the neighbours found are exact. Votes weighted by similarity give a raw value, and a logistic curve fitted to
+leave-one-out values of the examples, reweighted to the class shares of the labelled rows, makes it a probability.
+
+Defined cases: null and empty texts and texts without a term of any example have the share of toxic rows among
+the examples of that kind (of all labelled rows if there is none); texts of any length are read whole; equal
+texts, also repeated rows, have equal scores; ties between neighbours go to the earlier example in the index;
+without labelled rows of both kinds every score is the share of toxic rows (0 if there are none); an empty table
+gives an empty one; a column of the name of the score is replaced, all others stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +33,12 @@ from pyspark.sql.types import StructType
 
 from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 
-#: Labelled rows of each class that serve as examples, the longest text among them, and the terms kept (documented bounds).
-SAMPLE_ROWS, SAMPLE_CHARS, TERMS = 1500, 10_000, 512
-#: Neighbours that vote, examples in a block, lengths of stems in bytes, least chi-square of a term.
-K, BLOCK, STEMS, LEAST = 15, 64, (4, 5, 6), 25.0
+#: Labelled rows of each class that serve as examples, and the longest text among them (documented bounds).
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 10_000
+#: Neighbours that vote, examples in a block, blocks opened at first, lengths of stems in bytes.
+K, BLOCK, OPEN, STEMS = 15, 64, 4, (4, 5, 6)
+#: A term is frequent if more than this share (one in so many) of the examples has it; texts that are compared at once.
+FREQUENT, BATCH = 24, 256
 
 
 def terms_of(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
@@ -45,133 +53,204 @@ def terms_of(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Sorted term hashes with a small table in front, as most terms of a text are none of them."""
+    """Sorted term hashes, and where those of each range of hashes begin."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.front = np.zeros(1 << 16, bool)
-        self.front[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(hashes) + 1))))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.begin = np.append(np.searchsorted(self.hashes, edges), len(hashes)).astype(np.int32)
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Places of terms, -1 for those that are none."""
+        out = np.full(len(terms), -1, np.int32)
+        part = (terms >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.begin[part], self.begin[part + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.hashes[at] == terms[live]
+            out[live[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            live, at, end = live[more], at[more], end[more]
+        return out
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term and number of occurrences, sorted by text and term."""
         terms, text = terms_of(Scan(data, offsets, ALPHA))
-        maybe = self.front[(terms >> np.uint64(48)).astype(np.int64)] if len(self.hashes) else np.zeros(len(terms), bool)
-        terms, text = terms[maybe], text[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, terms), max(0, len(self.hashes) - 1))
-        ok = self.hashes[at] == terms if len(terms) else maybe[:0]
-        keys, counts = np.unique(text[ok] * (len(self.hashes) + 1) + at[ok], return_counts=True)
-        return keys // (len(self.hashes) + 1), keys % (len(self.hashes) + 1), counts
+        at = self.find(terms)
+        ok = at >= 0
+        width = len(self.hashes) + 1
+        keys = text[ok] * width + at[ok]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[first], np.diff(first, append=len(keys))
+        return keys // width, keys % width, counts
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of several ranges, and the range each belongs to."""
+    size = end - begin
+    of = np.repeat(np.arange(len(begin)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + begin[of], of
 
 
-@dataclass
 class Index:
-    """Examples in blocks: postings as rows of a block's matrix, and each term's largest weight in it."""
-
-    vectors: np.ndarray  # examples x terms, unit length
-    labels: np.ndarray
-    bounds: np.ndarray = field(init=False)  # blocks x terms
-
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        order = np.lexsort((np.arange(n), self.vectors.argmax(1))) if self.vectors.size else np.arange(n)  # similar examples share blocks, so bounds are tight
-        self.vectors, self.labels = self.vectors[order], self.labels[order]
-        cuts = range(0, n, BLOCK)
-        self.bounds = np.array([self.vectors[a : a + BLOCK].max(0) for a in cuts]) if n else np.zeros((0, self.vectors.shape[1]))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine, ties to the earlier one: places and similarities. skip: an example left out."""
-        reach = self.bounds[:, terms] @ weights
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-reach, kind="stable"):
-            if reach[b] <= 0 or (len(best) == k and reach[b] < best[-1] - 1e-12):
-                break
-            near = self.vectors[b * BLOCK : (b + 1) * BLOCK][:, terms] @ weights
-            at = np.flatnonzero(near > 0) + b * BLOCK
-            at = at[at != skip]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, near[at - b * BLOCK]])
-            order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+    """An inverted index of examples in blocks of BLOCK, and of every term the largest weight in each block.
+
+    Terms that many examples have keep a weight for every example of a block, so that a block is opened for many
+    texts at once by one product of matrices; the others keep lists of examples. Similarities of lists are summed
+    at once, so a block's bound is the largest of those sums and what the frequent terms can add at most.
+    """
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, n_terms: int):
+        n = len(labels)
+        # examples that share their heaviest term share blocks, so bounds are tight
+        heavy = np.full(n, -1, np.int64)
+        order = np.lexsort((term, weight, example))
+        heavy[example[order]] = term[order]
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), heavy))] = np.arange(n)
+        self.place, example, self.labels, self.blocks = place, place[example], np.empty(n), -(-n // BLOCK)
+        self.labels[place] = labels
+        often = np.bincount(term, minlength=n_terms) * FREQUENT > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        rows = np.zeros((self.blocks * BLOCK, int(often.sum())), np.float32)
+        many = often[term]
+        rows[example[many], self.column[term[many]]] = weight[many]
+        self._open(rows)
+        example, term, weight = example[~many], term[~many], weight[~many]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.begin = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int32)
+
+    def _open(self, rows: np.ndarray) -> None:
+        self.rows = rows.astype(float)
+        self.most = self.rows.reshape(self.blocks, BLOCK, self.rows.shape[1]).max(1, initial=0.0).T
+
+    def __getstate__(self) -> dict:
+        return {**{k: v for k, v in self.__dict__.items() if k != "most"}, "rows": self.rows.astype(np.float32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open(state["rows"])
+
+    def nearest(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int = K, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n texts the k examples of largest cosine, ties to the earlier one: text, example and similarity of each.
+
+        skip: of every text an example left out.
+        """
+        size = self.blocks * BLOCK
+        bulk = self.column[terms] >= 0
+        own = np.zeros((n, self.rows.shape[1]))
+        own[text[bulk], self.column[terms[bulk]]] = weights[bulk]
+        at, of = ranges(self.begin[terms], self.begin[terms + 1])  # none of a frequent term
+        near = np.bincount(text[of] * size + self.example[at], self.weight[at] * weights[of], n * size).reshape(n, self.blocks, BLOCK)
+        reach = near.max(2) + own @ self.most
+        opened = np.zeros((n, self.blocks), bool)
+        wanted = np.argsort(-reach, 1, kind="stable").argsort(1) < OPEN  # the blocks of highest bound first
+        while wanted.any():
+            for b in np.flatnonzero(wanted.any(0)):
+                who = np.flatnonzero(wanted[:, b])
+                near[who, b] += own[who] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
+            opened |= wanted
+            known = np.where(opened[:, :, None], near, 0.0).reshape(n, size)
+            if skip is not None:
+                known[np.arange(n), skip] = 0
+            best = np.partition(known, size - k, 1)[:, size - k] if size > k else np.zeros(n)
+            wanted = ~opened & (reach > 0) & (reach >= best[:, None] - 1e-6)
+        known = np.round(known, 9)  # so that sums of another order tie
+        who, at = np.nonzero((known > 0) & (known >= best[:, None] - 1e-8))
+        order = np.lexsort((at, -known[who, at], who))
+        who, at = who[order], at[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[first], at[first], known[who[first], at[first]]
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    idf: np.ndarray
+    importance: np.ndarray  # of every term: inverse document frequency times dependence on the label
     index: Index
     curve: tuple[float, float]
-    empty: float  # score without a vocabulary term
+    empty: float  # score without a term of any example
 
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / max(np.sqrt((w**2).sum()), 1e-12)
+    def weigh(self, text: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms of texts, each text's of unit length."""
+        w = (1 + np.log(counts)) * self.importance[terms]
+        return w / np.sqrt(np.bincount(text, w * w))[text]
 
-    def raw(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> float:
-        at, near = self.index.nearest(terms, weights, skip=skip)
-        return float((near * self.index.labels[at]).sum() / near.sum()) if len(at) else 0.5
+    def raw(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, skip: np.ndarray | None = None) -> np.ndarray:
+        """The neighbours' votes, a value for each of n texts; one half without a neighbour."""
+        who, at, near = self.index.nearest(text, terms, weights, n, skip=skip)
+        total = np.bincount(who, near, n)
+        return np.where(total > 0, np.bincount(who, near * self.index.labels[at], n) / np.maximum(total, 1e-12), 0.5)
 
     def evidence(self, text: str) -> list[tuple[int, float, int]]:
         """The neighbours that decide a text's score: example, similarity and label."""
-        _, terms, counts = self.vocabulary.count(*texts_of(pa.array([text])))
-        at, near = self.index.nearest(terms, self.weigh(terms, counts)) if len(terms) else (np.zeros(0, int), np.zeros(0))
+        whose, terms, counts = self.vocabulary.count(*texts_of(pa.array([text])))
+        if not len(terms):
+            return []
+        _, at, near = self.index.nearest(whose, terms, self.weigh(whose, terms, counts), 1)
         return [(int(i), float(s), int(self.index.labels[i])) for i, s in zip(at, near, strict=True)]
 
     def score(self, column: pa.Array) -> np.ndarray:
-        out, seen = np.full(len(column), self.empty), {}
+        out = np.full(len(column), self.empty)
         data, offsets = texts_of(column)
-        for a, _, part, cut in slices(data, offsets):
+        for a, b, part, cut in slices(data, offsets):
             text, terms, counts = self.vocabulary.count(part, cut)
-            firsts = np.flatnonzero(np.diff(text, prepend=-1))
-            for i, j in zip(firsts, [*firsts[1:], len(text)], strict=False):
-                key = (terms[i:j].tobytes(), counts[i:j].tobytes())
-                if key not in seen:
-                    x = self.raw(terms[i:j], self.weigh(terms[i:j], counts[i:j]))
-                    seen[key] = 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * x)))
-                out[a + text[i]] = seen[key]
-            if len(seen) > 100_000:
-                seen.clear()
+            weights = self.weigh(text, terms, counts) if len(text) else np.zeros(0)
+            for low in range(0, b - a, BATCH):
+                i, j = np.searchsorted(text, [low, low + BATCH])
+                have = np.unique(text[i:j])
+                if len(have):
+                    x = self.raw(np.searchsorted(have, text[i:j]), terms[i:j], weights[i:j], len(have))
+                    out[a + have] = 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * x)))
         return out
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels training never sees."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Rows whose labels training never sees; a null id is in no fold, and not learned from either."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes of the terms on which the label depends, by chi-square."""
-    found, owners = [], []
+def terms_of_examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a few texts: sorted hashes of all their terms; and of every term of a text the text, the place among the hashes, the count."""
+    found, owners, often = [], [], []
     for first, _, data, offsets in slices(*texts_of(pa.array(texts, pa.string())), limit=1 << 19):
         terms, text = terms_of(Scan(data, offsets, ALPHA))
-        order = np.lexsort((text, terms))
+        order = np.lexsort((terms, text))
         terms, text = terms[order], text[order]
-        fresh = np.ones(len(terms), bool)  # a term counts once a text
-        fresh[1:] = (terms[1:] != terms[:-1]) | (text[1:] != text[:-1])
-        found.append(terms[fresh])
-        owners.append(text[fresh] + first)
+        begin = np.flatnonzero((np.diff(terms, prepend=~terms[:1]) != 0) | (np.diff(text, prepend=-1) != 0))
+        found.append(terms[begin])
+        owners.append((text[begin] + first).astype(np.int32))
+        often.append(np.diff(begin, append=len(terms)).astype(np.int32))
     hashes, at = np.unique(np.concatenate(found), return_inverse=True)
-    toxic = labels[np.concatenate(owners)]
-    yes, no = np.bincount(at, toxic), np.bincount(at, 1 - toxic)
+    return hashes, np.concatenate(owners), at.astype(np.int32), np.concatenate(often)
+
+
+def dependence(term: np.ndarray, toxic: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Chi-square of every term's presence against the label. toxic: of every term of a text, the text's label."""
+    yes, no = np.bincount(term, toxic, n_terms), np.bincount(term, 1 - toxic, n_terms)
     n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
-    p, q = yes / n1, no / n0
     mean = (yes + no) / (n1 + n0)
-    chi = (p - q) ** 2 / np.maximum(mean * (1 - mean) * (1 / n1 + 1 / n0), 1e-12)
-    order = np.lexsort((hashes, -chi))[:TERMS]
-    return hashes[order[chi[order] >= LEAST]]
+    return (yes / n1 - no / n0) ** 2 / np.maximum(mean * (1 - mean) * (1 / n1 + 1 / n0), 1e-12)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Choose examples and terms, count the terms over all of docs, and calibrate.
+    """Choose examples, count their terms over all of docs, index them, and calibrate.
 
     Examples are about ``rows`` rows of each class, chosen by a hash of the id among texts of at most
     ``chars`` characters, so what the driver holds is bounded whatever the input.
     """
     spark = docs.sparkSession
-    known = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    none = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), Index(np.zeros((0, 0)), np.zeros(0)), (0.0, 0.0), share)
+    nothing = np.zeros(0, np.int64)
+    none = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), Index(nothing, nothing, np.zeros(0), np.zeros(0), 0), (0.0, 0.0), share)
     if len(counts) < 2:
         return none
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
@@ -186,10 +265,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     y = np.array([picked[i] for i, _ in got])
     if len(set(y.tolist())) < 2:
         return none
-    vocabulary = Vocabulary(choose_terms([t for _, t in got], y))
-    size = len(vocabulary.hashes)
+    hashes, text, term, tf = terms_of_examples([t for _, t in got])
+    size = len(hashes)
     if not size:
         return none
+    vocabulary = Vocabulary(hashes)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,26 +279,28 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for _, _, part, cut in slices(*texts_of(batch.column(0))):
                 _, terms, _ = shared.value.count(part, cut)
                 df += np.bincount(terms, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], names=["term", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(tally, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r[0]: r[1] for r in counted}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(size)]))) + 1
-    model = Model(vocabulary, idf, Index(np.zeros((0, size)), np.zeros(0)), (0.0, 0.0), share)
-    runs = [(first, *vocabulary.count(data, offsets)) for first, _, data, offsets in slices(*texts_of(pa.array([t for _, t in got], pa.string())), limit=1 << 19)]
-    text, terms, tf = (np.concatenate([r[k] + (r[0] if k == 1 else 0) for r in runs]) for k in (1, 2, 3))
+        have = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1).astype(np.int32)), pa.array(np.append(df[have], n))], names=["term", "n"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(tally, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)  # the last: all documents
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    importance = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (1 + dependence(term, y[text], y, size))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     has = np.zeros(len(y), bool)
     has[text] = True
-    model.empty = float((weight * y)[~has].sum() / max(weight[~has].sum(), 1e-12)) if (~has).any() else share
-    vectors = np.zeros((len(y), size))
-    vectors[text, terms] = (1 + np.log(tf)) * idf[terms]
-    vectors = vectors[has] / np.sqrt((vectors[has] ** 2).sum(1, keepdims=True))
-    model.index = Index(vectors, y[has].astype(float))
-    raws, ys = np.zeros(len(model.index.labels)), model.index.labels
-    for i, v in enumerate(model.index.vectors):
-        at = np.flatnonzero(v)
-        raws[i] = model.raw(at, v[at], skip=i)
+    empty = float((weight * y)[~has].sum() / max(weight[~has].sum(), 1e-12)) if (~has).any() else share
+    w = (1 + np.log(tf)) * importance[term]
+    w = w / np.sqrt(np.bincount(text, w * w, len(y)))[text]
+    whose = (np.cumsum(has) - 1)[text]  # among the examples with a term
+    ys = y[has].astype(float)
+    model = Model(vocabulary, importance, Index(whose, term, w, ys, size), (0.0, 0.0), empty)
+    # each example again, without itself
+    raws = np.zeros(len(ys))
+    for low in range(0, len(ys), BATCH):
+        i, j = np.searchsorted(whose, [low, low + BATCH])
+        n = min(BATCH, len(ys) - low)
+        raws[low : low + n] = model.raw(whose[i:j] - low, term[i:j], w[i:j], n, skip=model.index.place[low : low + n])
     model.curve = _calibrate(raws, ys, np.where(ys == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
