@@ -9,7 +9,8 @@ the one with the largest mean, and that mean is the score.
 Defined cases: a null text, an empty one and one without a letter give ``und`` with score 0;
 ties go to the language that sorts first; a text of any length is decoded whole, in blocks
 whose transfer matrices are chained exactly; repeated rows each give a row; without any
-usable training row every text is ``und``.
+usable training row every text is ``und``; an empty table gives an empty one; columns of the
+names of the prediction and the score are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 BUCKETS, BLOCK = 1 << 17, 32
 #: Labelled rows a language that the model is fitted to, and the longest text among them (a documented bound).
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 3000
+#: Values of lang that are learned, the most frequent ones (a documented bound, so that junk labels cannot grow the model).
+LANGUAGES = 100
 UNKNOWN = "und"
 
 
@@ -195,14 +198,14 @@ def fit(texts: list[str], langs: list[str], rounds: int = 14, step: float = 0.5)
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that training never sees."""
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """Rows that training never sees; a null id is in no fold, and not learned from either."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit to about ``rows`` rows a language, chosen by a hash of the id among texts of at most ``chars`` characters."""
-    usable = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col).between(1, chars)))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model | None:
+    """Fit to about ``rows`` rows of each of the ``languages`` most frequent values of lang, chosen by a hash of the id among texts of at most ``chars`` characters."""
+    usable = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col).between(1, chars)))
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
