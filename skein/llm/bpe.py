@@ -1,16 +1,16 @@
-"""Byte-level BPE encoding and decoding of whole texts, with tree concatenation.
-
-Ordinary texts go to the tokenizers library as they are. Its work is exact but serial
-inside one stretch that its pattern cannot split (a run of one kind of character without
-a break). Such a long stretch is cut into leaves, all leaves are encoded in one batch, and
-the results are joined pairwise up a tree: around each join a window is encoded anew and
-grown until it shares a token with the left side and one with the right side. A sequence of
-tokens is the encoding of its text if every adjacent pair is, and in the spliced sequence
-every adjacent pair stands in one of three exact encodings, so the result is exact.
-
-Defined cases: a null text is empty; an empty text has no tokens and decodes to itself;
-special token strings inside a text become their ids, as in the library; repeated rows
-each give a row; columns of the input other than the id and the text are not read.
+"""Byte-level BPE encoding and decoding of whole texts by tree concatenation.
+
+A text of more than LEAF characters is cut into halves, these into halves again, wherever that falls, down to
+leaves of at most LEAF. The leaves of all texts in hand are encoded in one batch, which the library spreads over its
+threads. Then the halves are joined up the tree: around each join a window is encoded anew and grown until it shares a
+token, at the same place, with the left side and one with the right side. A sequence of tokens is the encoding of its
+text if every adjacent pair is, and in the spliced sequence every adjacent pair stands in one of three exact encodings,
+so the result is exact. Joins of one level are done together, their windows in one batch.
+
+Defined cases: a null text is empty; an empty text has no tokens and decodes to itself; special token strings inside a
+text become their ids, as in the library, also where a cut falls into one; texts of any length and without any break
+are read whole; repeated rows each give a row; an empty table gives an empty one; columns of the input other than the
+id and the text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,36 +24,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters in a stretch without white space from which the tree is used, and in a leaf.
-LONG, LEAF = 4096, 1024
-#: Characters on each side of a join in the first window.
-WINDOW = 32
+#: Most characters of a leaf, and characters on each side of a join in its first window.
+LEAF, WINDOW = 2048, 48
 
 
 class Codec:
     """One tokenizer file: encode by tree concatenation, decode by its byte table."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.long, self.leaf, self.window = long, leaf, window
+        self.leaf, self.window = leaf, window
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.added = {t["id"] for t in spec["added_tokens"]}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        added = {t["id"] for t in spec["added_tokens"]}
+        # characters before an end within which what follows may still change where the pattern splits
+        self.margin = max([3, *(len(t["content"]) for t in spec["added_tokens"])])
         visible = self._visible()
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bytes: list[bytes] = [b""] * size
+        self.bytes: list[bytes] = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = token.encode() if i in self.added else bytes(visible[c] for c in token)
+            self.bytes[i] = token.encode() if i in added else bytes(visible[c] for c in token)
+        self.sizes = [*map(len, self.bytes)]
 
     @staticmethod
     def _visible() -> dict[str, int]:
@@ -66,60 +62,69 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        easy = [max(map(len, t.split(" "))) <= self.long if len(t) > self.long else True for t in texts]
-        plain = iter(self._plain([t for t, e in zip(texts, easy, strict=True) if e]))
-        return [next(plain) if e else self._mixed(t) for t, e in zip(texts, easy, strict=True)]
-
-    def _mixed(self, text: str) -> list[int]:
-        """A text with a long stretch: pieces that the pattern splits are encoded in one batch, long ones by the tree."""
-        pieces: list[str] = []
-        for part in self.specials.split(text) if self.specials else [text]:
-            pieces += [part] if part in self.special else self.split.findall(part)
-        short = iter(self._plain([p for p in pieces if len(p) <= self.long]))
-        ids: list[int] = []
-        for p in pieces:
-            ids += next(short) if len(p) <= self.long else self.tree(p)
-        return ids
-
-    def tree(self, piece: str) -> list[int]:
-        """Encode one unsplit piece: leaves in a batch, then joins, level by level."""
-        cuts = [*range(0, len(piece), self.leaf)]
-        level = [(a, min(a + self.leaf, len(piece)), ids) for a, ids in zip(cuts, self._plain([piece[a : a + self.leaf] for a in cuts]), strict=True)]
-        while len(level) > 1:
-            pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
-            level = [p[0] if len(p) == 1 else (p[0][0], p[1][1], self._join(piece, p[0], p[1])) for p in pairs]
-        return level[0][2]
-
-    def _ends(self, ids: list[int]) -> np.ndarray:
-        return np.cumsum([0, *(len(self.bytes[i]) for i in ids)])
-
-    def _join(self, piece: str, left: tuple, right: tuple) -> list[int]:
-        (a, cut, one), (_, b, two) = left, right
-        one_at, two_at = self._ends(one), self._ends(two)
-        one_at -= one_at[-1]  # byte places, counted from the join
-        reach = self.window
+        cuts = [self._halves(len(t)) for t in texts]
+        flat = iter(self._plain([t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in zip(c, c[1:])]))
+        levels = [[(a, b, next(flat)) for a, b in zip(c, c[1:])] for c in cuts]
         while True:
-            low, high = max(a, cut - reach), min(b, cut + reach)
-            if low == a and high == b:
-                return self._plain([piece[a:b]])[0]
-            ids = self._plain([piece[low:high]])[0]
-            at = self._ends(ids) - len(piece[low:cut].encode())
-            i, k = self._common(one, one_at, ids, at) if low > a else (0, 0)
-            if i is not None:
-                m, j = self._common(ids, at, two, two_at, k) if high < b else (len(ids), len(two))
-                if m is not None:
-                    return one[:i] + ids[k:m] + two[j:]
+            joins = [(t, level[i], level[i + 1]) for t, level in zip(texts, levels, strict=True) for i in range(0, len(level) - 1, 2)]
+            if not joins:
+                return [level[0][2] for level in levels]
+            joined = iter(self._join(joins))
+            levels = [[(level[i][0], level[i + 1][1], next(joined)) for i in range(0, len(level) - 1, 2)] or level for level in levels]
+
+    def _halves(self, n: int) -> list[int]:
+        """Limits of the leaves of a text of n characters: halves of halves, as many for every part."""
+        k = 1
+        while k * self.leaf < n:
+            k *= 2
+        return [n * i // k for i in range(k + 1)]
+
+    def _join(self, joins: list[tuple]) -> list[list[int]]:
+        """Encodings of neighbouring stretches, (text, (a, cut, ids), (cut, b, ids)) each, spliced into one."""
+        out: list[list[int] | None] = [None] * len(joins)
+        open_, reach = [*range(len(joins))], self.window
+        while open_:
+            limits = [(max(joins[i][1][0], joins[i][1][1] - reach), min(joins[i][2][1], joins[i][1][1] + reach)) for i in open_]
+            windows = self._plain([joins[i][0][low:high] for i, (low, high) in zip(open_, limits, strict=True)])
+            for i, (low, high), ids in zip(open_, limits, windows, strict=True):
+                out[i] = self._splice(*joins[i], low, high, ids)
+            open_ = [i for i in open_ if out[i] is None]
             reach *= 2
-
-    @staticmethod
-    def _common(x: list[int], x_at: np.ndarray, y: list[int], y_at: np.ndarray, least: int = 0) -> tuple:
-        """The last token that stands in both at the same place: its index in each."""
-        where = {int(p): j for j, p in enumerate(y_at[:-1])}
-        for i in range(len(x) - 1, least - 1, -1):
-            j = where.get(int(x_at[i]))
-            if j is not None and x[i] == y[j]:
-                return i, j
-        return None, None
+        return out  # type: ignore[return-value]
+
+    def _splice(self, text: str, one: tuple, two: tuple, low: int, high: int, ids: list[int]) -> list[int] | None:
+        """Left tokens, window, right tokens, if the window agrees with both sides; a side that it covers is not needed."""
+        (first, cut, left), (_, last, right) = one, two
+        size, where, at = self.sizes, {}, -len(text[low:cut].encode())
+        begin = at
+        for k, t in enumerate(ids):  # places in bytes, counted from the join
+            where[at] = k
+            at += size[t]
+        i = k = 0
+        if low > first:
+            place, sure = 0, -len(text[cut - self.margin : cut].encode()) if cut - self.margin >= low else begin - 1
+            for i in range(len(left) - 1, -1, -1):
+                place -= size[left[i]]
+                if place < begin:
+                    return None
+                k = where.get(place, -1) if place <= sure else -1
+                if k >= 0 and ids[k] == left[i]:
+                    break
+            else:
+                return None
+        m, j = len(ids), len(right)
+        if high < last:
+            place, sure, agreed = 0, len(text[cut : high - self.margin].encode()) if high - self.margin >= cut else -1, False
+            for n, t in enumerate(right):
+                if place > sure:
+                    break
+                w = where.get(place, -1)
+                if w >= k and ids[w] == t:
+                    m, j, agreed = w, n, True
+                place += size[t]
+            if not agreed:
+                return None
+        return left[:i] + ids[k:m] + right[j:]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """UTF-8 of the text that the ids stand for; a broken sequence becomes replacement characters."""
@@ -135,7 +140,7 @@ class Codec:
 def codec(path: str) -> Codec:
     import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     return Codec(path)
 
 
