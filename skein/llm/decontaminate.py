@@ -1,41 +1,47 @@
-"""Benchmark decontamination by SimHash windows, with DataFrame functions only.
+"""Benchmark decontamination by SimHash of item-sized windows.
 
-A document leaks an item if one of its item-sized windows (as many words as the item) has a weighted
-Jaccard similarity of 0.8 or more with it, over multisets of five-word shingles.
+A document leaks an item if one of its windows of as many words as the item has a weighted Jaccard similarity
+of 0.8 or more with it, over multisets of five-word shingles.
 
-Search: such a window shares a run of words with the item that holds a whole probe, a shorter window
-whose size is set by the item's (see PROBES). Documents give probes at every HOP-th word, items
-at every word, so one probe of the run stands at the same words in both. Probes are compared by SimHash: 64
-bits, each the majority over the probe's word hashes. Fingerprints are cut into RADIUS + 1 blocks; any two
-within Hamming distance RADIUS agree on a block, so an index of blocks finds all of them. Each hit lines
-the item up with a window, which is then compared exactly, also shifted by up to SHIFT words.
+Search. An item of n words is looked for by windows of its own size, less the words that a leak may lose at its ends
+(a leak at 0.8 loses at most a ninth of the n - 4 shingles) and HOP - 1 words (window_of). Documents give windows of
+every such size at every HOP-th word, items at every word, so of a leak changed at its ends only, one window stands at
+the same words in both. Windows are compared by SimHash: 64 bits, each the majority over the hashes of the window's
+words, from running sums, one pass over the words for every distinct size. Fingerprints are cut into blocks: any two
+within Hamming distance RADIUS agree on all but RADIUS of them, so an index over every choice of that many blocks
+finds all of these. Changed words inside a window cost a few bits each, which the radius covers in part (README has
+the recall). Each hit lines the item up with a window, which is then compared exactly, also shifted by up to SHIFT words.
 
-Defined cases: a null text is empty; texts and items without a word match nothing; an item with fewer than
-five words is one shingle, its whole sequence; items of equal text leak separately; rows that repeat an id
-count as one document, which leaks an item if any of them does; with an empty table there are no pairs.
+Running sums have no form among DataFrame functions that meets the limits (README has figures), so windows are made
+from the words' hashes in Arrow batches; words, index, Hamming join and comparison are DataFrame functions.
+
+Defined cases: a null text is empty; texts and items without a word match nothing; an item with fewer than five words
+is one shingle, its whole sequence; texts and items of any length are taken whole; items of equal text leak
+separately; rows that repeat an id count as one document, which leaks an item if any of them does; rows of an item id
+that repeats are one item each time, and a pair of ids is returned once, with its best window, the first of them in a
+tie; rows without an id are in no pair, and decontaminate keeps them; with an empty table there are no pairs; other columns,
+whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.shared import jit_sized_methods, let, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
-HOP, RADIUS, SHIFT = 4, 3, 2
-#: Least words of an item, and words of its probe, for probes at every HOP-th word. A window at 0.8 loses at
-#: most a ninth of the item's m = L - 4 shingles, and a changed word inside loses five: below 41 shingles
-#: changes touch only the ends, so a run of L - m / 9 words is whole; beyond, one of at least 22 is.
-#: Both hold a whole probe at the documents' places (its words and HOP - 1 more). Smaller items are
-#: probed at every word.
-PROBES = {8: 12, 16: 23}
-#: Items, and leaking documents, up to which they are broadcast; beyond, joins shuffle.
-BROADCAST_ITEMS, BROADCAST_DOCS = 100_000, 1_000_000
-
-_LANES = 0x0101010101010101
+HOP, RADIUS, SHIFT = 2, 3, 2
+#: Words of items and rows of their index up to which they are broadcast, and so for leaking documents; beyond, joins shuffle.
+BROADCAST_WORDS, BROADCAST_INDEX, BROADCAST_DOCS = 4_000_000, 2_000_000, 1_000_000
+#: Fingerprints of a size up to which a fingerprint is cut into so many blocks; the more there are, the longer its keys.
+PARTS = ((1 << 14, RADIUS + 1), (1 << 21, RADIUS + 2), (1 << 62, RADIUS + 3))
 
 
 def words(text: Column) -> Column:
@@ -44,28 +50,48 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def with_simhash(df: DataFrame, probe: str, sizes: list[int]) -> DataFrame:
-    """Adds fp_<size>: the SimHash of the first size hashes of an array column, null where it has fewer.
+#: Words of documents whose windows are made at once.
+RUN = 1 << 16
 
-    Eight longs count in eight lanes each how many hashes have a bit set; adding a constant moves the
-    majority into one bit of each lane, below the sign.
-    """
-    hashes = [F.get(F.col(probe), F.lit(i)) for i in range(max(sizes))]
-    lanes = lambda h, b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_LANES))
-    done, sums = 0, {}
-    for size in sorted(sizes):
-        add = {b: reduce(lambda x, y: x + y, [lanes(h, b) for h in hashes[done:size]]) for b in range(8)}
-        df = df.withColumns({f"lane_{size}_{b}": F.col(f"lane_{done}_{b}") + add[b] if done else add[b] for b in range(8)})
-        done = size
-        sums[size] = [F.shiftleft(F.shiftrightunsigned(F.col(f"lane_{size}_{b}") + F.lit(_LANES * (63 - size // 2)), 6).bitwiseAND(F.lit(_LANES)), b) for b in range(8)]
-    df = df.withColumns({f"fp_{size}": reduce(lambda x, y: x.bitwiseOR(y), bits) for size, bits in sums.items()})
-    return df.drop(*(f"lane_{size}_{b}" for size in sizes for b in range(8)))
+
+def window_of(n: Column) -> Column:
+    """Words of the windows by which an item of n words is looked for."""
+    lost = F.floor(F.greatest(n - 4, F.lit(0)) / 9)
+    return F.greatest(F.lit(1), n - lost - F.when(n < 7, 0).otherwise(HOP - 1)).cast("int")
+
+
+def lane_width(words: int) -> int:
+    """Bits of a lane that counts so many words, twice over."""
+    return next(w for w in (8, 16, 32) if words < 1 << (w - 1))
+
+
+def lane_mask(width: int) -> int:
+    return sum(1 << i for i in range(0, 64, width))
 
 
-def blocks(fp: Column, size: int, radius: int = RADIUS) -> list[Column]:
-    """Keys of the blocks of a fingerprint: probe size, which block, its bits."""
-    width = 64 // (radius + 1)
-    return [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) + F.lit(((size << 8) + i) << 40) for i in range(radius + 1)]
+def lanes(value: Column, bit: int, width: int) -> Column:
+    """Of every lane's bits of a hash, one: 0 or 1 in each lane."""
+    return F.shiftrightunsigned(value, bit).bitwiseAND(F.lit(lane_mask(width)))
+
+
+def majority(sums: list[Column], words: Column, width: int) -> Column:
+    """The SimHash of a window from its lane sums: adding a constant moves the majority into one bit of each lane, below the sign."""
+    raised = F.lit(lane_mask(width)) * ((1 << (width - 2)) - 1 - F.floor(words / 2))
+    bits = [F.shiftleft(F.shiftrightunsigned(x + raised, width - 2).bitwiseAND(F.lit(lane_mask(width))), b) for b, x in enumerate(sums)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def simhash(hashes: Column, words: Column, width: int) -> Column:
+    """The SimHash of a few hashes."""
+    total = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + lanes(h, b, width))
+    return majority([total(b) for b in range(width)], words, width)
+
+
+def masks(parts: int, radius: int = RADIUS) -> list[int]:
+    """Every choice of all but radius of the blocks of a fingerprint, as a mask of their bits."""
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    block = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(parts)]
+    return [sum(block[i] for i in c) for c in combinations(range(parts), parts - radius)]
 
 
 def shingles(hashes: Column, k: int = SHINGLE) -> Column:
@@ -81,60 +107,139 @@ def similarity(a: Column, b: Column) -> Column:
     return let(b, lambda x: F.when(a == x, F.lit(1.0)).otherwise(let(both(x), lambda m: m / F.greatest(F.size(a) + F.size(x) - m, F.lit(1)))))
 
 
-def _probes(df: DataFrame, hop: int, least: int, width: int) -> DataFrame:
-    """Explodes hashes into (place, probe) at every hop-th word; probes at the end may have least words only."""
-    places = F.when(F.size("hashes") >= least, F.sequence(F.lit(0), F.size("hashes") - least, F.lit(hop)))
-    return df.select(*[c for c in df.columns if c != "hashes"], F.posexplode(F.transform(places, lambda p: F.slice("hashes", p + 1, width))).alias("turn", "probe")).withColumn("place", F.col("turn") * hop).drop("turn")
+def index_of(items: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Fingerprints of the items' windows (item_id, size, at, fp), and how many there are of every size."""
+    n = F.size("hashes")
+    rows = items.withColumn("size", window_of(n)).withColumn("at", F.explode(F.sequence(F.lit(0), n - F.col("size"))))
+    counts = {r[0]: r[1] for r in rows.groupBy("size").count().collect()}  # as many as the items have distinct lengths
+    width = lane_width(max(counts, default=1))
+    return saved(rows.select("item_id", "size", "at", simhash(F.slice("hashes", F.col("at") + 1, F.col("size")), F.col("size"), width).alias("fp"))), counts
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(df: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
-    """One row a block of every fingerprint: keep, place, size, fp, key."""
-    df = with_simhash(df, "probe", sizes)
-    rows = F.flatten(F.array(*[F.when(F.size("probe") >= s, F.array(*[F.struct(F.lit(s).alias("size"), F.col(f"fp_{s}").alias("fp"), k.alias("key")) for k in blocks(F.col(f"fp_{s}"), s)])).otherwise(F.array().cast("array<struct<size:int,fp:bigint,key:bigint>>")) for s in sizes]))
-    return df.select(*keep, "place", F.explode(rows).alias("b")).select(*keep, "place", "b.*")
+def fold(bits: np.ndarray) -> np.ndarray:
+    """16 bits that stand for masked bits of fingerprints."""
+    return ((bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Places (doc_id, item_id, start) at which a document's window lines up with an item.
+def fingerprints(hashes: np.ndarray, size: int, width: int, sums: np.ndarray, hop: int) -> np.ndarray:
+    """SimHashes of the windows of some words at every hop-th place; sums: running sums of the hashes' lanes, for every bit of a lane."""
+    mask, raised = np.uint64(lane_mask(width)), np.uint64(lane_mask(width) * ((1 << (width - 2)) - 1 - size // 2))
+    out = np.zeros(max(0, (len(hashes) - size) // hop + 1), np.uint64)
+    for b in range(width):
+        total = sums[b, size::hop][: len(out)] - sums[b, ::hop][: len(out)]
+        out |= (((total + raised) >> np.uint64(width - 2)) & mask) << np.uint64(b)
+    return out
+
+
+def windows(docs: DataFrame, sizes: list[int], hop: int, choices: list[int], taken: np.ndarray) -> DataFrame:
+    """The windows of documents that share a block choice with an item's: doc_id, place, size, number, bits, doc_fp.
+
+    taken: for every size and choice, which of 65536 folded values items have.
+    """
+    width = lane_width(max(sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            # stretches of documents: row, first word and words in which windows begin; a long document has several
+            stretches, words = [], 0
+            for row in range(len(ids)):
+                for first in range(limits[row], limits[row + 1], RUN):
+                    stretches.append((row, first, min(RUN, limits[row + 1] - first)))
+                    words += stretches[-1][2]
+                    if words >= RUN:
+                        yield _run(ids, stretches, limits, values)
+                        stretches, words = [], 0
+            if stretches:
+                yield _run(ids, stretches, limits, values)
+
+    def _run(ids: pa.Array, stretches: list[tuple[int, int, int]], limits: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        row, first, own = (np.array(x) for x in zip(*stretches, strict=True))
+        n = np.minimum(own + max(sizes) - 1, limits[row + 1] - first)  # windows reach beyond the words in which they begin
+        begin = np.concatenate([[0], np.cumsum(-(-n // hop) * hop)])  # every stretch begins at a place
+        words = np.zeros(begin[-1], np.uint64)
+        for at, a, size in zip(begin, first, n, strict=False):
+            words[at : at + size] = values[a : a + size]
+        sums = np.zeros((width, len(words) + 1), np.uint64)
+        for b in range(width):
+            np.cumsum((words >> np.uint64(b)) & np.uint64(lane_mask(width)), out=sums[b, 1:])
+        places = np.arange(0, len(words), hop)
+        of = np.searchsorted(begin, places, "right") - 1
+        room = np.where(places - begin[of] < own[of], begin[of] + n[of] - places, 0)
+        place, doc = places - begin[of] + (first - limits[row])[of], row[of]
+        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for k, size in enumerate(sizes):
+            fp = fingerprints(words, size, width, sums, hop)
+            whole = room[: len(fp)] >= size
+            for i, m in enumerate(choices):
+                bits = fp & np.uint64(m)
+                hit = np.flatnonzero(taken[k, i][fold(bits)] & whole)
+                for column, x in zip(found, (doc[hit], place[hit], np.full(len(hit), size), np.full(len(hit), i), bits[hit].view(np.int64), fp[hit].view(np.int64)), strict=True):
+                    column.append(x)
+        doc_at, *rest = (np.concatenate(x) for x in found)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc_at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "place", "size", "number", "bits", "doc_fp"])
+
+    return docs.select("doc_id", "hashes").mapInArrow(run, "doc_id long, place int, size int, number int, bits long, doc_fp long")
+
+
+def candidates(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Places (doc_id, item_id, start) at which a document's window is within the radius of an item's at the same words.
 
     docs: doc_id, hashes. items: item_id, hashes.
     """
-    lengths = sorted(r[0] for r in items.select(F.size("hashes")).distinct().collect())
-    some = items.count() <= BROADCAST_ITEMS
+    index, counts = index_of(items)
+    if not counts:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).filter(F.lit(False))
+    choices = masks(next(p for most, p in PARTS if max(counts.values()) <= most))
+    keyed = index.select("item_id", "size", "at", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in choices))).alias("number", "bits"))
+    keyed = saved(keyed)
     found = []
-    plans = [(HOP, [p for p, least in PROBES.items() if any(least <= n and n < min([x for x in PROBES.values() if x > least], default=n + 1) for n in lengths)], None)]
-    plans += [(1, [w], w) for w in sorted({min(n, 4) for n in lengths if 0 < n < min(PROBES.values())})]
-    for hop, sizes, tiny in plans:
+    tiny = [n for n in counts if n < 7]  # items of fewer than seven words are looked for at every word
+    for hop, sizes in ((HOP, sorted(set(counts) - set(tiny))), (1, sorted(tiny))):
         if not sizes:
             continue
-        n = F.size("hashes")
-        mine = items.filter(n < min(PROBES.values())).filter(F.least(n, F.lit(4)) == tiny) if tiny else items.filter(n >= min(PROBES.values()))
-        index = _keyed(_probes(mine.withColumn("words", n), 1, min(sizes), max(sizes)), sizes, ["item_id", "words"])
-        if not tiny:  # each item is probed by the one size for its length
-            index = index.filter(reduce(lambda a, b: a | b, [(F.col("size") == p) & (F.col("words") >= least) & (F.col("words") < min([x for x in PROBES.values() if x > least], default=1 << 30)) for p, least in PROBES.items()]))
-        index = index.select("key", "item_id", F.col("fp").alias("item_fp"), F.col("place").alias("item_place"))
-        keyed = _keyed(_probes(docs, hop, min(sizes), max(sizes)), sizes, ["doc_id"])
-        hits = keyed.join(F.broadcast(index) if some else index, "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        found.append(hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")))
-    if not found:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).filter(F.lit(False))
+        mine = keyed.filter(F.col("size").isin(sizes))
+        # which folded values items have: 65536 bits for every size and choice, whatever the items
+        taken = np.zeros((len(sizes), len(choices), 1 << 16), bool)
+        some = mine.select("size", "number", "bits").distinct()
+        for r in _folded(some).collect():
+            taken[sizes.index(r["size"]), r["number"], r["value"]] = True
+        rows = windows(docs, sizes, hop, choices, taken)
+        few = sum(counts[n] for n in sizes) * len(choices) <= BROADCAST_INDEX
+        met = rows.join(F.broadcast(mine) if few else mine, ["size", "number", "bits"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("doc_fp"))) <= radius)
+        found.append(met.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("start")))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+def _folded(keys: DataFrame) -> DataFrame:
+    """The distinct folded values of a size and choice, at most 65536 of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fold(batch.column(2).to_numpy().view(np.uint64)).astype(np.int32))], names=["size", "number", "value"])
+
+    return keys.mapInArrow(run, "size int, number int, value int").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row a leaking pair: doc_id, item_id, start (word at which the best window begins), similarity."""
     jit_sized_methods(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("hashes")).filter(F.size("hashes") > 0)
     items = saved(items)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = saved(candidates(texts.select("doc_id", words(F.col("text")).alias("hashes")), items))
+    hits = saved(candidates(texts.select("doc_id", words(F.col("text")).alias("hashes")), items, radius))
     ids = hits.select("doc_id").distinct()
     # the texts of hit documents alone are read again; their ids are broadcast if they are few
     few = ids.count() <= BROADCAST_DOCS
     hit_texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     rows = hit_texts.select("doc_id", words(F.col("text")).alias("hashes")).join(hits, "doc_id")
     wanted = items.select("item_id", F.col("hashes").alias("item"), shingles(F.col("hashes")).alias("item_shingles"))
-    rows = rows.join(F.broadcast(wanted) if items.count() <= BROADCAST_ITEMS else wanted, "item_id")
+    rows = rows.join(F.broadcast(wanted) if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_WORDS else wanted, "item_id")
     reach = F.greatest(F.col("start") - SHIFT, F.lit(0))
     rows = rows.select("doc_id", "item_id", "item_shingles", F.size("item").alias("words"), "start", reach.alias("from"), F.slice("hashes", reach + 1, F.size("item") + 2 * SHIFT).alias("near"))
     # no window here can share more shingles than all of them together do, so most hits end before they are compared;
@@ -158,5 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     bad = saved(pairs.select("doc_id").distinct())
     few = bad.count() <= BROADCAST_DOCS
     id_col = names.get("id_col", "doc_id")
-    bad = bad.select(F.col("doc_id").alias("__leaking"))
-    return docs.join(F.broadcast(bad) if few else bad, docs[id_col] == F.col("__leaking"), "left_anti")
+    # the ids under a name that no column of docs has, and a join that keeps every column as it is
+    own = next(f"leaking_{i}" for i in range(len(docs.columns) + 1) if f"leaking_{i}" not in (c.lower() for c in docs.columns))
+    bad = bad.select(F.col("doc_id").alias(own))
+    return docs.join(F.broadcast(bad) if few else bad, docs[id_col].cast("long").eqNullSafe(F.col(own)), "left_anti")
