@@ -9,8 +9,10 @@ n-grams. With more than d segments of s or more n-grams in one of them, one of t
 both. So sets are cut into some more fragments than the largest d of their band of sizes (a set near the end
 of its band also as the next one is cut), and a set's keys are its segments of at least s n-grams, s being the
 largest number (up to LARGEST) that leaves more than d; the set with the smaller s has the common segment
-too. A set with too few non-empty segments also has its n-grams of smallest hash as keys, (1 - t) of it and
-one more: two such sets share one. No key depends on how frequent an n-gram is, and a common passage makes
+too. A set with too few non-empty segments has all of them and also its n-grams of smallest hash as keys, (1 - t) of it and
+one more: two such sets share one. The segments of all other sets are more than d by a leeway that is the same for a band,
+and as an n-gram spoils one segment only, linked sets have so many keys and one more in common: who shares fewer is left
+out before anything is compared (_enough). No key depends on how frequent an n-gram is, and a common passage makes
 two texts meet only where a whole segment of both lies in it.
 
 Links. In every bucket of a key all members are first compared with one of them, the pivot; where a bucket
@@ -44,10 +46,12 @@ from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 RATIO, FRAGMENTS = 1.5, 16
 #: Fragments for candidates, as a multiple of one more than the differences; the largest s.
 SPARE, LARGEST = 1.2, 4
+#: Linked sets share one key, and one more for so many n-grams in which they may differ; rounds in which that is asked for.
+LEEWAY, ROUNDS = 20, 2
+#: Sets that a task remembers to leave out copies early.
+SEEN = 1 << 20
 #: Longs of the shortest parity sketch; a sketch has at least as many bits as its set has n-grams.
 SKETCH = 8
-#: Members of a bucket up to which all its pairs are listed; those of larger buckets meet by their rarest n-grams.
-CROWD = 32
 #: Documents with candidates up to which their ids are broadcast to the scan; beyond, the join shuffles.
 BROADCAST_DOCS = 1_000_000
 
@@ -93,14 +97,19 @@ def _segments(grams: np.ndarray, sizes: np.ndarray, fragments: np.ndarray) -> tu
     return mix(content + place[begin] * _FRAGMENT + f[begin] * _SCHEME), owner[begin], np.diff(begin, append=len(grams))
 
 
-def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a run of sets, and the set of each."""
+def shared_least(differ: np.ndarray) -> np.ndarray:
+    """Keys that two linked sets have in common at least, where they may differ in so many n-grams."""
+    return 1 + differ // LEEWAY
+
+
+def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of a run of sets, the set of each, the scheme by which it was cut, and how many keys of it are shared at least."""
     sizes = np.diff(limits)
     table = bands(int(sizes.max(initial=1)), numerator)
     first = np.array([b[0] for b in table])
     differ, fragments = np.array([b[1] for b in table]), np.array([b[2] for b in table])
     band = np.searchsorted(first, sizes, "right") - 1
-    out, of = [], []
+    out, of, scheme, needs = [], [], [], []
     weak = np.zeros(len(sizes), bool)
     for ahead in (0, 1):
         use = sizes > 0 if not ahead else (sizes > 0) & (100 * sizes >= numerator * first[np.minimum(band + 1, len(first) - 1)])
@@ -109,18 +118,28 @@ def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.n
             continue
         b = band[at] + ahead
         keys, owner, large = _segments(grams[np.repeat(use, sizes)], sizes[at], fragments[b])
-        least = np.zeros(len(at), np.int64)
+        need = shared_least(differ[b])
+        least = np.ones(len(at), np.int64)
         for s in range(1, LARGEST + 1):
-            least[np.bincount(owner[large >= s], minlength=len(at)) > differ[b]] = s
-        weak[at] |= least == 0
+            enough = np.bincount(owner[large >= s], minlength=len(at)) >= differ[b] + need
+            least[enough] = s
+            if s == 1:
+                strong = enough
+        weak[at] |= ~strong
         keep = large >= least[owner]
         out.append(keys[keep])
         of.append(at[owner[keep]])
+        scheme.append(b[owner[keep]])
+        needs.append(np.where(strong, need, 1)[owner[keep]])
     for i in np.flatnonzero(weak).tolist():
         few = sizes[i] - -(-numerator * sizes[i] // 100) + 1
         out.append(mix(grams[limits[i] : limits[i] + few] + _SCHEME))
         of.append(np.full(few, i))
-    return (np.concatenate(out), np.concatenate(of)) if out else (grams[:0], limits[:0])
+        scheme.append(np.full(few, -1))
+        needs.append(np.ones(few, np.int64))
+    if not out:
+        return grams[:0], limits[:0], limits[:0], limits[:0]
+    return tuple(np.concatenate(x) for x in (out, of, scheme, needs))
 
 
 def _scan(docs: DataFrame, size: int, body, schema: str, names: list[str]) -> DataFrame:
@@ -191,21 +210,23 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
         """Keys of the sets that this task has not met yet."""
         (one,) = _sums(grams, limits, range(1, 2))
         fresh = np.zeros(len(ids), bool)
+        if len(seen) > SEEN:  # only saves work: copies are made one class later
+            seen.clear()
         for i, s in enumerate(one.tolist()):
             if s not in seen:
                 seen.add(s)
                 fresh[i] = True
-        keys, of = keys_of(grams, limits, numerator)
+        keys, of, scheme, need = keys_of(grams, limits, numerator)
         keep = fresh[of]
-        return [keys[keep].view(np.int64), ids[of[keep]]]
+        return [keys[keep].view(np.int64), ids[of[keep]], scheme[keep].astype(np.int16), need[keep].astype(np.int16)]
 
-    keys = _scan(docs, size, keyed, "key long, doc_id long", ["key", "doc_id"])
+    keys = _scan(docs, size, keyed, "key long, doc_id long, scheme short, need short", ["key", "doc_id", "scheme", "need"])
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # members of buckets with several documents, as heads of their classes; most keys are met by one document only
     members = saved(keys.join(met, "key"))
     names = heads.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("n").alias("n"))
-    members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n").distinct())
-    members = saved(_with_pivots(members))
+    members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n", "scheme", "need").distinct())
+    members = saved(_with_pivots(_enough(members)))
 
     first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", sketches, size, numerator))
     found = connect(first)
@@ -302,6 +323,16 @@ def _common(grams: pa.ListArray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
     return common, sizes
 
 
+def _enough(members: DataFrame) -> DataFrame:
+    """Members with as many keys of a scheme in common with others as linked sets have; who has fewer links with nobody."""
+    for _ in range(ROUNDS):
+        crowds = members.groupBy("key").agg((F.count("*") > 1).alias("crowd")).filter("crowd").select("key")
+        members = members.join(crowds, "key")
+        have = members.groupBy("doc_id", "scheme").agg((F.count("*") >= F.max("need")).alias("enough")).filter("enough").select("doc_id", "scheme")
+        members = saved(members.join(have, ["doc_id", "scheme"]))
+    return members.select("key", "doc_id", "n")
+
+
 def _with_pivots(members: DataFrame) -> DataFrame:
     """Adds each bucket's pivot: the member that meets most others over all its buckets, so the least edited of a group."""
     crowds = members.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
@@ -317,19 +348,15 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
     An n-gram that no other document of these buckets has cannot be shared. With u of them, a set of a has at
     most a - u in common with any other, which leaves out the documents of a group that are edited too much.
-    The rest meet by their n-grams, rarest first, where what follows in both still suffices for a link. All of
-    this is for buckets of more than CROWD members; pairs of smaller ones are listed.
+    The rest meet by their n-grams, rarest first, where what follows in both still suffices for a link. Buckets
+    of every size are taken alike, so what is listed follows the documents and not the size of their groups.
     """
     part = members.join(found, members["doc_id"] == found["node"], "left").select("key", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
     # pivots have been compared with all their bucket
     part = saved(part)
-    open_ = part.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key", "members")
+    open_ = part.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
     part = saved(part.join(open_, "key").filter("doc_id <> pivot"))
-    small_x, small_y = (part.filter(F.col("members") <= CROWD).select("key", *(F.col(c).alias(c + e) for c in ("doc_id", "n", "component"))) for e in "xy")
-    near = small_x.join(small_y, "key").filter("doc_idx < doc_idy and componentx <> componenty").filter(100 * F.least("nx", "ny") >= numerator * F.greatest("nx", "ny"))
-    near = near.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"))
-    part = part.filter(F.col("members") > CROWD)
     wanted = part.select("doc_id").distinct()
     few = wanted.count() <= BROADCAST_DOCS
 
@@ -353,7 +380,7 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
     ranked = saved(ranked.filter(may(F.col("rest"), F.col("n") + F.greatest("least", F.ceil(F.col("n") * numerator / 100)))).select("gram", "doc_id", "n", "component", "rest"))
     other = ranked.select("gram", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("rest").alias("yrest"))
     pairs = ranked.join(other, "gram").filter((F.col("doc_id") < F.col("y")) & (F.col("component") != F.col("yc")) & may(F.least("rest", "yrest"), F.col("n") + F.col("yn")))
-    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).unionByName(near).distinct())
+    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct())
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, sketches: DataFrame, size: int, numerator: int) -> DataFrame:

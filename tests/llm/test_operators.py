@@ -47,16 +47,25 @@ def brute_components(rows, size, numerator):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowd", [32, 1])
-def test_join(docs, crowd, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+@pytest.mark.parametrize("members", [16, 40, 200])
+def test_join(docs, members):
+    """Groups of any size: one text edited in one place, and texts that share a passage with it and are not alike."""
     base = [f"w{i}" for i in range(60)]
-    near = [(8000 + k, " ".join(base[: 7 * k % 60] + [f"new{k}"] + base[7 * k % 60 + 1 :]), "en") for k in range(12)]
+    near = [(8000 + k, " ".join(base[: 7 * k % 60] + [f"new{k}"] + base[7 * k % 60 + 1 :]), "en") for k in range(members)]
+    near += [(8500 + k, " ".join(base[:45] + [f"own{k // 2}x{j}" for j in range(30)] + [f"z{k}"] * (k % 2)), "en") for k in range(members)]
     rows = docs.unionByName(docs.sparkSession.createDataFrame(near, DOCS))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(rows, size=4, numerator=85).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in rows.collect()], 4, 85)
 
 
+def test_join_of_repeated_ids(spark):
+    """Rows of one id with several texts are one document, and tie the components of these texts."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (2, b), (3, a + " x"), (4, b + " y"), (5, a), (5, b), (6, "alone here"), (6, None), (None, a)]
+    got = {r.doc_id: r.component_id for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
+
+
 def test_join_of_nothing(spark, docs):
     assert ngram_join.components(spark.createDataFrame([], DOCS)).count() == 0
     kept = ngram_join.keep_one(docs.withColumn("key", F.lit(1)))
