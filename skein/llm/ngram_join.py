@@ -48,6 +48,10 @@ RATIO, FRAGMENTS = 1.5, 16
 SPARE, LARGEST = 1.2, 4
 #: Linked sets share one key, and one more for so many n-grams in which they may differ; rounds in which that is asked for.
 LEEWAY, ROUNDS = 20, 2
+#: A bound on the keys that are asked for, so that they and the scheme stand in one number.
+NEEDS = 1 << 16
+#: Bytes that a task should read of a shuffle: its rows are short and sorted, so they take several times that of memory.
+PARTITION = "16m"
 #: Sets that a task remembers to leave out copies early.
 SEEN = 1 << 20
 #: Longs of the shortest parity sketch; a sketch has at least as many bits as its set has n-grams.
@@ -99,7 +103,7 @@ def _segments(grams: np.ndarray, sizes: np.ndarray, fragments: np.ndarray) -> tu
 
 def shared_least(differ: np.ndarray) -> np.ndarray:
     """Keys that two linked sets have in common at least, where they may differ in so many n-grams."""
-    return 1 + differ // LEEWAY
+    return np.minimum(1 + differ // LEEWAY, NEEDS - 1)
 
 
 def keys_of(grams: np.ndarray, limits: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,6 +201,7 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
     n_links is the number of other documents that link with it, copies included. Two documents link if 100 * intersection >= numerator * union of their sets of size-word shingles.
     """
     free_shuffles(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION)
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = saved(_scan(docs, size, _labels, "doc_id long, n long, s1 long, s2 long, sketch array<long>", ["doc_id", "n", "s1", "s2", "sketch"]))
     # rows of one id may have several sets; then there is no sketch, and it rules nothing out
@@ -218,14 +223,15 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
                 fresh[i] = True
         keys, of, scheme, need = keys_of(grams, limits, numerator)
         keep = fresh[of]
-        return [keys[keep].view(np.int64), ids[of[keep]], scheme[keep].astype(np.int16), need[keep].astype(np.int16)]
+        return [keys[keep].view(np.int64), ids[of[keep]], ((scheme[keep] + 1) * NEEDS + need[keep]).astype(np.int32)]
 
-    keys = _scan(docs, size, keyed, "key long, doc_id long, scheme short, need short", ["key", "doc_id", "scheme", "need"])
+    # scheme and need in one column, as every column costs each of many rows
+    keys = _scan(docs, size, keyed, "key long, doc_id long, scheme int", ["key", "doc_id", "scheme"])
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # members of buckets with several documents, as heads of their classes; most keys are met by one document only
     members = saved(keys.join(met, "key"))
     names = heads.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("n").alias("n"))
-    members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n", "scheme", "need").distinct())
+    members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n", "scheme").distinct())
     members = saved(_with_pivots(_enough(members)))
 
     first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", sketches, size, numerator))
@@ -328,7 +334,7 @@ def _enough(members: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         crowds = members.groupBy("key").agg((F.count("*") > 1).alias("crowd")).filter("crowd").select("key")
         members = members.join(crowds, "key")
-        have = members.groupBy("doc_id", "scheme").agg((F.count("*") >= F.max("need")).alias("enough")).filter("enough").select("doc_id", "scheme")
+        have = members.groupBy("doc_id", "scheme").agg((F.count("*") >= F.col("scheme") % NEEDS).alias("enough")).filter("enough").select("doc_id", "scheme")
         members = saved(members.join(have, ["doc_id", "scheme"]))
     return members.select("key", "doc_id", "n")
 
