@@ -21,6 +21,7 @@ gives an empty one; a column of the name of the score is replaced, all others st
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -327,10 +328,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     """All columns of docs with the score (replacing a column of that name)."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == score_col.lower()))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(shared.value)  # opened for the time of a task: a worker that goes on to other work keeps the packed form only
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at)), pa.float64())], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column(at)), pa.float64())], names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, "double"))
