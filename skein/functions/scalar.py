@@ -19,10 +19,16 @@ def default_label(label: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit(default))
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """Sort key under which digit runs compare as numbers: each is padded to one width."""
-    padded = F.regexp_replace(F.lower(text), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
+def natural_key(text: Column) -> Column:
+    """Sort key under which digit runs of any length compare as numbers: each is led by the length of its number, and that by its own length."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def key(part: Column) -> Column:
+        number = F.regexp_replace(part, "^0+(?=.)", "")
+        size = F.length(number).cast("string")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.chr(F.length(size) + 47), size, F.lit(":"), number)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def signed(n: Column) -> Column:
@@ -52,9 +58,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def label_confidence(a: Column, b: Column) -> Column:
-    """2 for equal labels, 1 for one edit or a shared word of four letters or more, else 0."""
-    long_words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 4)
-    return F.when(a == b, 2).when(within_one_edit(a, b) | F.arrays_overlap(long_words(a), long_words(b)), 1).otherwise(0)
+    """Of two label keys: 2 for equal ones, 1 if both have several words, share one of four letters or more and are one edit apart, else 0."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    long_words = lambda c: F.filter(words(c), lambda w: F.length(w) >= 4)
+    close = (F.size(words(a)) > 1) & (F.size(words(b)) > 1) & F.arrays_overlap(long_words(a), long_words(b)) & within_one_edit(a, b)
+    return F.when((a == "") | (b == "") | a.isNull() | b.isNull(), 0).when(a == b, 2).when(close, 1).otherwise(0)
 
 
 # ---- lists and masks
@@ -68,7 +76,7 @@ def parsed_list(text: Column, separator: str = ",") -> Column:
 def mask_labels(mask: Column, labels: dict[int, str], everything: int | None = None) -> Column:
     """Labels of the bits all of which a mask has, in the dictionary's order, joined by spaces."""
     joined = F.array_join(F.array_compact(F.array(*[F.when(mask.bitwiseAND(bit) == bit, F.lit(label)) for bit, label in labels.items()])), " ")
-    return joined if everything is None else F.when(mask >= everything, F.lit("ALL")).otherwise(joined)
+    return joined if everything is None else F.when(mask == everything, F.lit("ALL")).otherwise(joined)
 
 
 def mask_positions(mask: Column, bits: int = 24) -> Column:
@@ -133,13 +141,12 @@ def effect_value(code: Column, base: Column, most: Column, tick: Column, level:
     # fixed values: code -> (factor, divisor) of the level, and of the tick
     of_level = {101: (1, 2), 102: (1, 1), 103: (2, 1), 104: (3, 1), 105: (4, 1), 109: (1, 4), 110: (1, 6), 119: (1, 8), 121: (1, 3), 143: (3, 4)}
     of_tick = {107: 1, 108: 2, 120: 5, 122: 12}
-    change = F.when(code.isin(60, 70), b / 100)
-    for c, (f, d) in of_level.items():
-        change = change.when(code == c, v * f / d)
-    for c, f in of_tick.items():
-        change = change.when(code == c, -t * f)
-    for c, (f, low, d) in above.items():
-        change = change.when(code == c, F.when(v > low, (v - low) * f / d).otherwise(F.lit(0.0)))
+    # the tables as literals, so that generated code does not grow with them
+    table = lambda d: F.try_element_at(F.create_map(*(x for c, row in d.items() for x in (F.lit(c), F.array(*(F.lit(float(y)) for y in row))))), code.cast("int"))
+    at = lambda row, i: F.get(row, F.lit(i))
+    high, by_level, by_tick = table(above), table(of_level), table({c: (f,) for c, f in of_tick.items()})
+    change = F.when(code.isin(60, 70), b / 100).when(by_level.isNotNull(), v * at(by_level, 0) / at(by_level, 1)).when(by_tick.isNotNull(), -t * at(by_tick, 0))
+    change = change.when(high.isNotNull(), F.when(v > at(high, 1), (v - at(high, 1)) * at(high, 0) / at(high, 2)).otherwise(F.lit(0.0)))
     change = change.when(code == 123, (F.abs(most) - F.abs(base)) / 2).when(code == 142, F.when(v > 30, 2 * (v - 60)).otherwise(F.lit(0.0))).when(code == 144, 10 * v + 20 * (v - 40))
     change = change.when(code.between(1, 999), code * v).when(code.between(1000, 1999), -t * (code - 1000)).when(code.between(2000, 2999), v * (code - 2000)).when(code.between(4000, 4999), -t * (code - 4000)).otherwise(F.lit(0.0))
     value = F.abs(b) + change
@@ -243,3 +250,84 @@ def clamp_zoom(zoom: Column, least: float = 0.25, most: float = 16.0) -> Column:
     if not 0 < least <= most:
         raise ValueError("zoom limits must be positive and in order")
     return F.least(F.lit(most), F.greatest(F.lit(least), zoom))
+
+
+# ---- labels of places and things
+
+def area_label(low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> Column:
+    """A point, or a rectangle by its sides, to two decimals."""
+    two = lambda c: F.format_string("%.2f", c.cast("double"))
+    span = lambda axis, a, b: F.concat(F.lit(f"{axis} "), two(a), F.lit("\u2013"), two(b))
+    return F.when((low_x == high_x) & (low_y == high_y), F.concat_ws(", ", two(high_x), two(high_y))).otherwise(F.concat_ws("; ", span("X", low_x, high_x), span("Y", low_y, high_y)))
+
+
+def non_zero_origin(x: Column, y: Column) -> Column:
+    return (x != 0) | (y != 0)
+
+
+def count_label(label: Column, more: Column) -> Column:
+    return F.when(more > 0, F.concat(label, F.lit(" + "), more.cast("string"), F.lit(" possible"))).otherwise(label)
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n.cast("long"), 0)
+
+
+def trimmed_decimals(x: Column) -> Column:
+    """Two decimals at most, without closing zeros."""
+    return F.regexp_replace(F.format_string("%.2f", x.cast("double")), r"\.?0+$", "")
+
+
+def coordinate_text(x: Column, y: Column, z: Column, order: str = "xyz") -> Column:
+    """Coordinates in the order that a game shows them: xyz or yxz."""
+    at = {"x": x, "y": y, "z": z}
+    return F.concat_ws(", ", *(trimmed_decimals(at[c]) for c in order))
+
+
+def weapon_ratio(damage: Column, delay: Column) -> Column:
+    return F.when((damage > 0) & (delay > 0), F.format_string("%.2f", F.try_divide(delay.cast("double"), damage))).otherwise(F.lit("-"))
+
+
+def markup_text(text: Column) -> Column:
+    """Colour marks and line breaks of a description as plain markup."""
+    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
+    text = F.regexp_replace(text, r"(?i)<c\s+\"(#[0-9a-f]+)\">", '<span style="color:$1">')
+    return F.regexp_replace(text, r"(?i)</c>", "</span>")
+
+
+def clean_text(text: Column, most: int = 160) -> Column:
+    """Without control characters, trimmed, cut."""
+    return F.substring(F.trim(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " ")), 1, most)
+
+
+def task_steps(text: Column) -> Column:
+    """Bracketed segments of a task's description: the steps that lead each, and its text."""
+    part = lambda p: F.struct(F.transform(F.split(F.regexp_extract(p, r"^([0-9]+(?:,[0-9]+)*)", 1), ","), lambda n: n.try_cast("int")).alias("steps"), F.trim(F.regexp_replace(p, r"^[0-9]+(?:,[0-9]+)*,?", "")).alias("text"))
+    return F.transform(bracketed(text), part)
+
+
+def rebased(value: Column) -> Column:
+    """Haste and slow count from 100."""
+    return F.when(value < 100, 100 - value).otherwise(value - 100)
+
+
+def damage_bonus(kind: Column, delay: Column, table: list[int]) -> Column:
+    """Bonus of a weapon: one for hands, a table by delay for two-handed kinds, else none."""
+    return F.when(kind.isin(0, 2, 4, 42), F.lit(13)).when(kind.isin(1, 35), F.get(F.array(*map(F.lit, table)), delay.cast("int")))
+
+
+def price_of(alternate: Column, ldon: Column, points: Column, coin: Column) -> Column:
+    """Price of a merchant's item: the first kind of currency that it has."""
+    paid = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
+    return F.coalesce(paid(alternate, " alt"), paid(ldon, " ldon"), paid(points, " points"), money_text(coin))
+
+
+def leveled_classes(levels: Column, names: list[str]) -> Column:
+    """Wide level columns as a list of class and level, those that can use it only."""
+    kept = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("n"), F.get(levels, i).alias("l"))), lambda e: (e["l"] > 0) & (e["l"] < 255))
+    return F.array_join(F.transform(kept, lambda e: F.concat(e["n"], F.lit(" ("), e["l"].cast("string"), F.lit(")"))), ", ")
+
+
+def found_at(epoch: Column) -> Column:
+    """Seconds as a date and time."""
+    return F.date_format(F.timestamp_seconds(epoch), "MMM dd, yyyy HH:mm")

@@ -89,3 +89,9 @@ def not_ignored(column: str, ignored: list[str]) -> Column:
 def day_range(ts: Column, first: str, last: str) -> Column:
     """From the start of the first day to the end of the last."""
     return (ts >= F.lit(first).cast("timestamp")) & (ts < F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+
+
+def matches(df: DataFrame, entries: str, key: str, name: str, match: str) -> DataFrame:
+    """df once for each entry of a list (a number, or a part of a name, between bars) that a row fits, with the entry: one pass over df."""
+    rules = [(e, F.col(key) == int(e) if e.isdigit() else F.col(name).ilike(f"%{e}%")) for e in dict.fromkeys(x.strip() for x in entries.split("|")) if e]
+    return df.withColumn(match, F.explode(F.array_compact(F.array(*(F.when(rule, F.lit(e)) for e, rule in rules)))))

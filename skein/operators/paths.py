@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Waypoints a path, seconds of one rest, speeds, seconds of a whole walk, milliseconds of the shortest move.
-MOST_POINTS, MOST_REST, SLOWEST, FASTEST, WALK, SHORTEST = 1000, 120.0, 20.0, 250.0, 18.0, 180.0
+#: Seconds of one rest, speeds, seconds of a whole walk, milliseconds of the shortest move.
+MOST_REST, SLOWEST, FASTEST, WALK, SHORTEST = 120.0, 20.0, 250.0, 18.0, 180.0
 #: Wander types that walk the waypoints in order: back and forth, and twice once through.
 BACK_AND_FORTH, ONCE = 3, (4, 6)
 
 
-def timelines(waypoints: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+def timelines(waypoints: DataFrame, paths: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """One row a path that can be walked: its events, its length in milliseconds, and if it loops.
 
     waypoints: key, number, x, y, z, pause. paths: key, wander_type, pause_type. Waypoints with a missing or infinite
-    place are left out. There is no row for other wander types, for fewer than two waypoints or for more than
-    MOST_POINTS. Rests of pause type 1 are as stored; of type 0 half to all of that and of type 2 any part, the share
+    place are left out. There is no row for other wander types, for fewer than two waypoints, or for more than
+    most where a limit is asked for. Rests of pause type 1 are as stored; of type 0 half to all of that and of type 2 any part, the share
     being a hash of the path and the place in the route, so that it is the same in every run.
     """
     known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")) for c in "xyz"]
-    counts = waypoints.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_POINTS).select(key)
-    rows = waypoints.filter(known[0] & known[1] & known[2]).join(counts, key, "left_semi")
+    rows = waypoints.filter(known[0] & known[1] & known[2])
+    if most is not None:
+        rows = rows.join(waypoints.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") <= most).select(key), key, "left_semi")
     point = F.struct("number", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.greatest(F.lit(0.0), F.coalesce(F.col("pause").cast("double"), F.lit(0.0))).alias("pause"))
-    routes = rows.groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("route")).filter(F.size("route") >= 2)  # at most MOST_POINTS each
+    routes = rows.groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("route")).filter(F.size("route") >= 2)
     routes = routes.join(paths.filter(F.col("wander_type").isin(BACK_AND_FORTH, *ONCE)), key)
     routes = routes.withColumn("approximate", (F.col("pause_type") != 1) | F.exists("route", lambda p: p["pause"] > MOST_REST))
     back = F.concat("route", F.reverse(F.slice("route", F.lit(1), F.size("route") - 1)))

@@ -12,6 +12,12 @@ def mark(df: DataFrame, other: DataFrame, on: str, name: str) -> DataFrame:
     return df.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def marks(df: DataFrame, other: DataFrame, on: str, rules: dict[str, str]) -> DataFrame:
+    """df with a boolean a rule: has other a row of the key that fits. One pass over other and one join."""
+    found = other.groupBy(on).agg(*(F.bool_or(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in rules.items()))
+    return df.join(found, on, "left").select(*df.columns, *(F.coalesce(name, F.lit(False)).alias(name) for name in rules))
+
+
 def child_count(df: DataFrame, children: DataFrame, on: str, name: str) -> DataFrame:
     """df with the number of its children, 0 where there are none; children are counted before the join."""
     counts = children.groupBy(on).agg(F.count("*").alias(name))
@@ -24,7 +30,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows a key, with their position; rows beyond k go before the shuffle."""
+    """The first k rows a key, with their position (long); rows beyond k go before the shuffle."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= k)
 
 

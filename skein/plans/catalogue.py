@@ -84,8 +84,8 @@ def filter_content_flags(t):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 3)")
 def filter_ignored_places(t):
-    ignored = [r[0] for r in t("nation").filter("n_nationkey < 3").select("n_name").collect()]  # a dictionary of 25 rows
-    return t("nation").filter(P.not_ignored("n_name", ignored)).select("n_nationkey", "n_name")
+    ignored = t("nation").filter("n_nationkey < 3").select("n_name")
+    return t("nation").join(ignored, "n_name", "left_anti").select("n_nationkey", "n_name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-06-01'")
@@ -129,11 +129,8 @@ def join_anti(t):
 @query("""SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS returned, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2) AS small,
  p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0) AS full_price FROM part""")
 def join_mark_columns(t):
-    out = t("part").select("p_partkey")
-    l = t("lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    for name, rule in (("returned", "l_returnflag = 'R'"), ("small", "l_quantity < 2"), ("full_price", "l_discount = 0")):
-        out = R.mark(out, l.filter(rule), "p_partkey", name)
-    return out
+    rules = {"returned": "l_returnflag = 'R'", "small": "l_quantity < 2", "full_price": "l_discount = 0"}
+    return R.marks(t("part").select("p_partkey"), t("lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", rules)
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -150,7 +147,8 @@ def join_on_name(t):
 
 @query("""SELECT o_orderkey, l_partkey, l_quantity FROM (SELECT l_orderkey AS o_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_linenumber) rn FROM lineitem) WHERE rn = 1""")
 def join_one_child(t):
-    return R.first_by(t("lineitem"), ["l_orderkey"], [F.col("l_quantity").desc(), F.col("l_partkey"), F.col("l_linenumber")]).select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity")
+    first = F.min_by(F.struct("l_partkey", "l_quantity"), F.struct(-F.col("l_quantity"), "l_partkey", "l_linenumber")).alias("l")
+    return t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(first).select("o_orderkey", "l.l_partkey", "l.l_quantity")
 
 
 @query("""SELECT a.s_suppkey AS id, b.s_suppkey AS near_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey
@@ -162,8 +160,7 @@ def join_distance(t):
 
 @query("""SELECT DISTINCT p_partkey, m.e AS match FROM part, (VALUES ('7'), ('lace')) m(e) WHERE CASE WHEN m.e = '7' THEN p_partkey = 7 ELSE p_name ILIKE '%' || m.e || '%' END""")
 def join_match_list(t):
-    parts = t("part").select("p_partkey", "p_name", F.explode(F.split(F.lit("7|lace"), "[|]")).alias("match"))
-    return parts.filter(F.when(F.col("match").rlike("^[0-9]+$"), F.col("p_partkey") == F.col("match").try_cast("long")).otherwise(F.expr("p_name ILIKE concat('%', match, '%')"))).select("p_partkey", "match").distinct()
+    return P.matches(t("part"), "7|lace", "p_partkey", "p_name", "match").select("p_partkey", "match")
 
 
 # ---- aggregates, windows, order
@@ -217,12 +214,6 @@ def page_three(t):
     return R.page(t("part"), [F.col("p_size").desc(), F.col("p_partkey")], 3).select("p_partkey", "p_name")
 
 
-@query("SELECT id, row_number() OVER (ORDER BY n) AS place FROM (SELECT s_suppkey AS id, s_suppkey AS n FROM supplier WHERE s_suppkey < 200)")
-def sort_natural(t):
-    rows = t("supplier").filter("s_suppkey < 200").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Zone "), F.col("s_suppkey").cast("string")).alias("label"), F.lit(1).alias("all"))
-    return R.top_k(rows, ["all"], [S.natural_key(F.col("label"))], 1000).select("id", F.col("position").alias("place"))
-
-
 @query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier")
 def sort_natural_all(t):
     rows = t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Zone "), F.col("s_suppkey").cast("string")).alias("label"))
@@ -328,7 +319,7 @@ def spatial_annotations(t):
 
 
 @query("""WITH w AS (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS i, c_custkey % 97 AS x, c_custkey % 31 AS y FROM customer),
- g AS (SELECT c_nationkey, c_mktsegment FROM w GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 1000), m AS (SELECT c_nationkey, c_mktsegment, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, rest_to, rest_from FROM
+ g AS (SELECT c_nationkey, c_mktsegment FROM w GROUP BY 1, 2 HAVING count(*) >= 2), m AS (SELECT c_nationkey, c_mktsegment, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, rest_to, rest_from FROM
   (SELECT c_nationkey, c_mktsegment, x, y, lag(x) OVER s AS px, lag(y) OVER s AS py, x % 3 AS rest_to, lag(x) OVER s % 3 AS rest_from FROM w WINDOW s AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY i)) WHERE px IS NOT NULL),
  v AS (SELECT c_nationkey, c_mktsegment, greatest(20, least(250, 2 * sum(d) / 18)) AS speed FROM m GROUP BY 1, 2)
  SELECT c_nationkey || '/' || c_mktsegment AS path, CAST(round(sum(2 * greatest(180, d / speed * 1000) + 1000 * (rest_to + rest_from))) AS BIGINT) AS duration, sum(2 + CASE WHEN rest_to > 0 THEN 1 ELSE 0 END + CASE WHEN rest_from > 0 THEN 1 ELSE 0 END)::BIGINT AS n_events
@@ -414,9 +405,12 @@ def stream_windowed_counts(t):
 
 
 def _shared(df: DataFrame) -> None:
-    """A folder for checkpoints, where the session has none (as in tests)."""
+    """A folder for checkpoints where the session has none, as in tests; a cluster must name one that all executors share."""
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-checkpoint-"))

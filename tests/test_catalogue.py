@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from skein.plans import catalogue
+from skein.plans import catalogue, domain  # noqa: F401  domain adds its queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,10 +76,10 @@ def test_scalars(spark):
 
     row = spark.range(1).select(
         S.expand_template(F.lit("#1 and #12"), [F.lit(i) for i in range(1, 13)]).alias("template"), S.finite(F.lit("x")).alias("bad"), S.finite(F.lit("1.5")).alias("good"),
-        S.min_usable_level(F.array(F.lit(0), F.lit(255), F.lit(9))).alias("level"), S.label_confidence(F.lit("old gate"), F.lit("gate road")).alias("confidence"), S.roam_box(*[F.lit(0.0)] * 4).alias("box"),
+        S.min_usable_level(F.array(F.lit(0), F.lit(255), F.lit(9))).alias("level"), S.label_confidence(F.lit("old gate"), F.lit("gate road")).alias("confidence"), S.label_confidence(F.lit("old gate"), F.lit("old gates")).alias("close"), S.label_confidence(F.lit(""), F.lit("")).alias("blank"), S.mask_labels(F.lit(65536), {1: "A"}, 65535).alias("mask"), S.roam_box(*[F.lit(0.0)] * 4).alias("box"),
         S.strip_prefix(F.lit("TO Freeport"), "to").alias("label"), S.bracketed(F.lit("[1,2] go [x]")).alias("steps"),
     ).first()
-    assert tuple(row) == ("1 and 12", None, 1.5, 9, 1, None, "Freeport", ["1,2", "x"])
+    assert tuple(row) == ("1 and 12", None, 1.5, 9, 0, 1, 0, "", None, "Freeport", ["1,2", "x"])
 
 
 def test_timelines_skip_what_cannot_be_walked(spark):
@@ -139,7 +139,7 @@ def test_screen_and_zoom(spark):
 
 
 def test_natural_order_of_all_suppliers(spark, tmp_path):
-    """More suppliers than the ids and the rows that sort_natural is held to."""
+    """Suppliers in many ranges of the order."""
     spark.range(1, 2501, numPartitions=7).selectExpr("id as s_suppkey").orderBy("s_suppkey", ascending=False).write.parquet(f"{tmp_path}/supplier.parquet")
     got = catalogue.QUERIES["sort_natural_all"](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.place) for r in got) == [(k, k) for k in range(1, 2501)]
