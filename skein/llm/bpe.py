@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.shared import small_batches
+
 #: Most characters of a leaf, and characters on each side of a join in its first window.
 LEAF, WINDOW = 2048, 48
 
@@ -172,4 +174,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(shas), pa.array(backs), *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])], schema=arrow)
                 at += len(group)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skein.llm.shared import small_batches
 from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 
 #: Hashed features, and words in a block of the chain.
@@ -252,5 +253,6 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", pr
             labels, scores = _decide(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], names=[*batch.schema.names, pred_col, score_col])
 
+    small_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields]).add(pred_col, "string").add(score_col, "double")
     return docs.mapInArrow(run, schema)

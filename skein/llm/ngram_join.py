@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.shared import free_shuffles, saved
+from skein.llm.shared import free_shuffles, saved, small_batches
 from skein.llm.textscan import SPACED, Scan, mix, slices, texts_of
 
 #: Ratio of a band's sizes, and fragments in which overlaps are counted.
@@ -156,6 +156,7 @@ def _scan(docs: DataFrame, size: int, body, schema: str, names: list[str]) -> Da
             for a, b, data, offsets in slices(*texts_of(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in body(ids[a:b], *sets_of(data, offsets, size), state)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

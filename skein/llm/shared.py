@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); where none is set, a temporary one in local mode, as in tests, and an error on a cluster."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set, and a cluster has no folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
         folder = context._jsc.sc().getCheckpointDir()
     return folder.get()
 
@@ -41,3 +44,8 @@ def free_shuffles(spark: SparkSession) -> None:
 def jit_sized_methods(spark: SparkSession) -> None:
     """Have stages whose generated method the JVM would not compile (over 8000 bytes) split into small methods."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have rows go to Python in batches of a thousand rows, as a batch stands in the memory of both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

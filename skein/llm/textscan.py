@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text scanned at a time; a single longer text is scanned alone, whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 

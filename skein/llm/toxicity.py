@@ -21,7 +21,6 @@ gives an empty one; a column of the name of the score is replaced, all others st
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -32,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skein.llm.shared import small_batches
 from skein.llm.textscan import ALPHA, Scan, mix, slices, texts_of
 
 #: Labelled rows of each class that serve as examples, and the longest text among them (documented bounds).
@@ -39,7 +39,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1500, 10_000
 #: Neighbours that vote, examples in a block, blocks opened at first, lengths of stems in bytes.
 K, BLOCK, OPEN, STEMS = 15, 64, 4, (4, 5, 6)
 #: A term is frequent if more than this share (one in so many) of the examples has it; texts that are compared at once.
-FREQUENT, BATCH = 24, 256
+FREQUENT, BATCH = 24, 64
 
 
 def terms_of(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
@@ -120,23 +120,13 @@ class Index:
         rows = np.zeros((self.blocks * BLOCK, int(often.sum())), np.float32)
         many = often[term]
         rows[example[many], self.column[term[many]]] = weight[many]
-        self._open(rows)
+        self.rows = rows  # single precision, as a worker keeps them; sums are in double precision
+        self.most = rows.reshape(self.blocks, BLOCK, rows.shape[1]).max(1, initial=0.0).T.astype(float)
         example, term, weight = example[~many], term[~many], weight[~many]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
         self.begin = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int32)
 
-    def _open(self, rows: np.ndarray) -> None:
-        self.rows = rows.astype(float)
-        self.most = self.rows.reshape(self.blocks, BLOCK, self.rows.shape[1]).max(1, initial=0.0).T
-
-    def __getstate__(self) -> dict:
-        return {**{k: v for k, v in self.__dict__.items() if k != "most"}, "rows": self.rows.astype(np.float32)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._open(state["rows"])
-
     def nearest(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int = K, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of n texts the k examples of largest cosine, ties to the earlier one: text, example and similarity of each.
 
@@ -147,14 +137,14 @@ class Index:
         own = np.zeros((n, self.rows.shape[1]))
         own[text[bulk], self.column[terms[bulk]]] = weights[bulk]
         at, of = ranges(self.begin[terms], self.begin[terms + 1])  # none of a frequent term
-        near = np.bincount(text[of] * size + self.example[at], self.weight[at] * weights[of], n * size).reshape(n, self.blocks, BLOCK)
+        near = np.bincount(text[of] * size + self.example[at], self.weight[at] * weights[of], n * size).astype(float).reshape(n, self.blocks, BLOCK)
         reach = near.max(2) + own @ self.most
         opened = np.zeros((n, self.blocks), bool)
         wanted = np.argsort(-reach, 1, kind="stable").argsort(1) < OPEN  # the blocks of highest bound first
         while wanted.any():
             for b in np.flatnonzero(wanted.any(0)):
                 who = np.flatnonzero(wanted[:, b])
-                near[who, b] += own[who] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T
+                near[who, b] += own[who] @ self.rows[b * BLOCK : (b + 1) * BLOCK].T.astype(float)
             opened |= wanted
             known = np.where(opened[:, :, None], near, 0.0).reshape(n, size)
             if skip is not None:
@@ -272,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return none
     vocabulary = Vocabulary(hashes)
     shared = spark.sparkContext.broadcast(vocabulary)
+    small_batches(spark)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size, np.int64), 0
@@ -328,11 +319,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     """All columns of docs with the score (replacing a column of that name)."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == score_col.lower()))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(shared.value)  # opened for the time of a task: a worker that goes on to other work keeps the packed form only
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column(at)), pa.float64())], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at)), pa.float64())], names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, "double"))

@@ -164,18 +164,26 @@ def test_licenses():
     assert [r[:6] for r in rows] == [(0, 0, None, None, "", ""), (0, 0, None, None, "", ""), (4, 2, 0, 2, "cc-by", "cc-by"), (8, 1, 0, 0, "reserved", "mit,reserved"), (5, 0, None, None, "", ""), (7, 1, 2, 2, "cc-by", "cc-by,cc-by-nc")]
 
 
-def test_toxicity_neighbours_are_exact(spark, docs):
+def test_toxicity_neighbours_are_exact(spark, docs, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
     vectors = np.abs(rng.normal(size=(300, 12))) * (rng.random((300, 12)) < 0.4)
     vectors = vectors[vectors.any(1)]
     vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
-    index = toxicity.Index(vectors, rng.integers(0, 2, len(vectors)).astype(float))
-    for q in index.vectors[:40]:
-        at = np.flatnonzero(q)
-        _, near = index.nearest(at, q[at])
-        assert np.allclose(near, np.sort(index.vectors @ q)[::-1][: len(near)])
+    for frequent in (2, 24):  # most terms as lists, or as rows of blocks
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        example, term = np.nonzero(vectors)
+        index = toxicity.Index(example, term, vectors[example, term], rng.integers(0, 2, len(vectors)).astype(float), 12)
+        text, terms = np.nonzero(vectors[:40])
+        who, at, near = index.nearest(text, terms, vectors[text, terms], 40)
+        back = np.argsort(index.place)
+        for i in range(40):
+            mine = who == i
+            assert np.allclose(near[mine], np.sort(vectors @ vectors[i])[::-1][: mine.sum()], atol=1e-6) and mine.sum() == toxicity.K
+            assert np.allclose(near[mine], vectors[back[at[mine]]] @ vectors[i], atol=1e-6)
+        alone = index.nearest(text, terms, vectors[text, terms], 40, skip=index.place[:40])
+        assert not (index.place[alone[0]] == alone[1]).any()
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     texts = spark.createDataFrame([(i, ("plain words here " * 3) + ("vile scum " if i % 4 == 0 else "kind folk "), "en") for i in range(400)] + [(900, None, "en")], DOCS)
     scored = toxicity.score(texts.withColumn("toxic_score", F.lit("clash")), toxicity.train(texts, labels)).join(labels, "doc_id", "left").collect()
@@ -185,14 +193,19 @@ def test_toxicity_neighbours_are_exact(spark, docs):
 def test_tree_concatenation_is_exact(docs):
     import random
 
-    codec, rng = bpe.Codec(tokenizer_path(), long=40, leaf=8, window=2), random.Random(1)
-    kinds = ["abcdefghetaoin", "  \n\t", "0123456789", ".,!?-=&%", "éèüñß", "the an in er on "]
-    for k in range(300):
-        text = "".join("".join(rng.choice(a) for _ in range(rng.choice([1, 3, 60, 200]))) for a in rng.choices(kinds, k=4)) + "<|endoftext|>" * (k % 9 == 0)
-        ids = codec.encode([text])[0]
-        assert ids == codec.tokenizer.encode(text, add_special_tokens=False).ids and codec.decode_bytes(ids).decode() == text
+    rng = random.Random(1)
+    kinds = ["abcdefghetaoin", "  \n\t", "0123456789", ".,!?-=&%", "éèüñß", "the an in er on ", "don't we'll ", "日本語", "   x"]
+    for leaf, window in ((8, 2), (40, 8), (200, 32)):
+        codec = bpe.Codec(tokenizer_path(), leaf=leaf, window=window)
+        texts = ["".join("".join(rng.choice(a) for _ in range(rng.choice([1, 3, 60, 200]))) + rng.choice(["", "", "<|endoftext|>", "<|endof", "text|>"]) for a in rng.choices(kinds, k=4)) for _ in range(150)]
+        for text, ids in zip(texts, codec.encode(texts), strict=True):
+            assert ids == codec.tokenizer.encode(text, add_special_tokens=False).ids and codec.decode_bytes(ids).decode() == text
     got = {r.doc_id: r for r in bpe.encode_decode(docs, tokenizer_path()).collect()}
     assert got[9001].n_tokens == got[9002].n_tokens == 0
+    plain = bpe.codec(tokenizer_path()).tokenizer
+    ids = {r.doc_id: plain.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    assert all(got[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in own)).hexdigest() and got[i].n_tokens == len(own) for i, own in ids.items())
+    assert any(len(r.text or "") > bpe.LEAF for r in docs.collect())  # the tree is used
     assert all(got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
 
 
