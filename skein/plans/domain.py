@@ -68,10 +68,10 @@ def search_items_stats(t):
     return Q.items(t("items"), t("spells_new"), p).select("id")
 
 
-@query("""SELECT i.id FROM items i WHERE reqlevel BETWEEN 0 AND 70 AND EXISTS (SELECT 1 FROM spells_new s WHERE s.name ILIKE '%brass%' AND ((s.id = i.proceffect AND i.proceffect BETWEEN 1 AND 65534) OR (s.id = i.worneffect AND i.worneffect BETWEEN 1 AND 65534) OR (s.id = i.scrolleffect AND i.scrolleffect BETWEEN 1 AND 65534)))
+@query("""SELECT i.id FROM items i WHERE reqlevel BETWEEN 0 AND 70 AND EXISTS (SELECT 1 FROM spells_new s WHERE s.name ILIKE '%promo%' AND ((s.id = i.proceffect AND i.proceffect BETWEEN 1 AND 65534) OR (s.id = i.worneffect AND i.worneffect BETWEEN 1 AND 65534) OR (s.id = i.scrolleffect AND i.scrolleffect BETWEEN 1 AND 65534)))
  AND i.id IN (SELECT item_id FROM discovered_items)""", "items", "spells_new", "discovered_items")
 def search_items_effect(t):
-    return Q.items(t("items"), t("spells_new"), {"effect": "brass", "max_lvl": 90}, Settings(only_discovered=True), t("discovered_items")).select("id")
+    return Q.items(t("items"), t("spells_new"), {"effect": "promo", "max_lvl": 90}, Settings(only_discovered=True), t("discovered_items")).select("id")
 
 
 @query("SELECT id, (SELECT count(*) FROM items WHERE Name ILIKE '%e%' AND reqlevel <= 70) AS total FROM items WHERE Name ILIKE '%e%' AND reqlevel <= 70 ORDER BY CASE WHEN damage = 0 THEN 1e9 ELSE delay * 1.0 / damage END DESC, id LIMIT 50 OFFSET 50", "items")
@@ -97,10 +97,10 @@ _WIDE = "[" + ", ".join(f"classes{i}" for i in range(1, 17)) + "]"
 
 
 @query(f"""SELECT 1 AS search, id FROM spells_new WHERE classes3 > 0 AND classes3 = 30 UNION ALL SELECT 2, id FROM spells_new WHERE classes4 > 0 AND classes4 >= 60 AND classes4 <= 70
- UNION ALL SELECT 3, id FROM spells_new WHERE classes5 > 0 AND classes5 <= 20 UNION ALL SELECT 4, id FROM spells_new WHERE name ILIKE '%tin%' AND len(list_filter({_WIDE}, lambda x: x >= 65 AND x <= 70)) > 0
- UNION ALL SELECT 5, id FROM spells_new WHERE name ILIKE '%tin%' AND len(list_filter({_WIDE}, lambda x: x <= 70 AND x > 0)) > 0 UNION ALL SELECT 6, id FROM spells_new WHERE classes6 > 0 AND classes6 <= 70 UNION ALL SELECT 7, id FROM spells_new WHERE name ILIKE '%tin%' AND len(list_filter({_WIDE}, lambda x: x <= 5)) > 0""", "spells_new")
+ UNION ALL SELECT 3, id FROM spells_new WHERE classes5 > 0 AND classes5 <= 20 UNION ALL SELECT 4, id FROM spells_new WHERE name ILIKE '%stand%' AND len(list_filter({_WIDE}, lambda x: x >= 65 AND x <= 70)) > 0
+ UNION ALL SELECT 5, id FROM spells_new WHERE name ILIKE '%stand%' AND len(list_filter({_WIDE}, lambda x: x <= 70 AND x > 0)) > 0 UNION ALL SELECT 6, id FROM spells_new WHERE classes6 > 0 AND classes6 <= 70 UNION ALL SELECT 7, id FROM spells_new WHERE name ILIKE '%stand%' AND len(list_filter({_WIDE}, lambda x: x <= 5)) > 0""", "spells_new")
 def search_spells(t):
-    asked = [{"class": 3, "level": 30, "opt": 1}, {"class": 4, "level": 60, "opt": 2}, {"class": 5, "level": 20}, {"name": "tin", "level": 65, "opt": 2}, {"name": "tin"}, {"class": 6}, {"name": "tin", "level": 5}]
+    asked = [{"class": 3, "level": 30, "opt": 1}, {"class": 4, "level": 60, "opt": 2}, {"class": 5, "level": 20}, {"name": "stand", "level": 65, "opt": 2}, {"name": "stand"}, {"class": 6}, {"name": "stand", "level": 5}]
     out = None
     for i, p in enumerate(asked):
         rows = Q.spells(t("spells_new"), p).select(F.lit(i + 1).alias("search"), "id")
@@ -113,13 +113,13 @@ def group_spells(t):
     return Q.usable_level(t("spells_new")).groupBy("level").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-_OTHER = f"lower(name) LIKE '%steel%' AND len(list_filter({_WIDE}, lambda x: x > 0 AND x >= 70)) > 0 AND id NOT IN (SELECT id FROM spells_new WHERE classes1 = 10)"
+_OTHER = f"lower(name) LIKE '%small%' AND len(list_filter({_WIDE}, lambda x: x > 0 AND x >= 70)) > 0 AND id NOT IN (SELECT id FROM spells_new WHERE classes1 = 10)"
 
 
 @query(f"SELECT id, (SELECT count(*) FROM spells_new WHERE {_OTHER}) AS n FROM spells_new WHERE {_OTHER} ORDER BY name, id LIMIT 25", "spells_new")
 def search_other_spells(t):
     spells = t("spells_new")
-    rows, count = Q.other_spells(spells, {"name": " Steel "}, spells.filter("classes1 = 10"))
+    rows, count = Q.other_spells(spells, {"name": " Small "}, spells.filter("classes1 = 10"))
     return rows.select("id").withColumn("n", F.lit(count.first()["n"]))
 
 
