@@ -168,12 +168,14 @@ def suggest_nothing(t):
 _SPAWNS = f"""spawns AS (SELECT DISTINCT se.npcID, s2.id AS spawn_id, s2.spawngroupID, z.short_name, z.version, z.zoneidnumber AS zone_id, se.chance, s2.pathgrid, sg.min_x, sg.max_x, sg.min_y, sg.max_y, s2.x
  FROM spawnentry se JOIN spawn2 s2 USING (spawngroupID) JOIN spawngroup sg ON sg.id = s2.spawngroupID JOIN zone z ON z.short_name = s2.zone AND z.version = s2.version
  WHERE se.npcID % 10 <> 3 AND se.chance > 0 AND {_open('se')} AND {_open('s2')} AND {_zone('z')} AND s2.x IS NOT NULL)"""
-_MINE = F.expr("npcID % 10 <> 3")
+def _mine():
+    return F.expr("npcID % 10 <> 3")
+
 
 
 @query(f", {_SPAWNS} SELECT npcID, spawn_id, concat(short_name, ':', version) AS key, chance, x, NOT (min_x = 0 AND max_x = 0 AND min_y = 0 AND max_y = 0) AND min_x <= max_x AND min_y <= max_y AS roams FROM spawns", *_PLACES, "spawngroup")
 def npc_locations(t):
-    groups = L.location_groups(L.spawn_locations(_MINE, t, CONFIG), CONFIG)
+    groups = L.location_groups(L.spawn_locations(_mine(), t, CONFIG), CONFIG)
     rows = groups.select("npcID", "key", F.explode("locations").alias("l"))
     return rows.select("npcID", F.col("l.spawn_id").alias("spawn_id"), "key", F.col("l.chance").alias("chance"), F.col("l.x").alias("x"), F.col("l.roam").isNotNull().alias("roams"))
 
@@ -182,13 +184,13 @@ def npc_locations(t):
  c AS (SELECT g.spawngroupID, g.own, se.npcID AS id, max(se.chance) AS chance FROM g JOIN spawnentry se USING (spawngroupID) WHERE se.npcID <> g.own AND se.chance > 0 AND {_open('se')} GROUP BY ALL),
  r AS (SELECT c.spawngroupID, c.id, c.chance, row_number() OVER (PARTITION BY c.spawngroupID ORDER BY c.chance DESC, c.id) AS position FROM (SELECT DISTINCT spawngroupID, id, chance FROM c) c) SELECT spawngroupID, id, chance, position FROM r, k WHERE position <= k.k""", *_PLACES, "spawngroup")
 def npc_placeholders(t):
-    return L.placeholders(L.spawn_locations(_MINE, t, CONFIG), t, CONFIG).select("spawngroupID", "id", "chance", F.col("position").cast("long").alias("position"))
+    return L.placeholders(L.spawn_locations(_mine(), t, CONFIG), t, CONFIG).select("spawngroupID", "id", "chance", F.col("position").cast("long").alias("position"))
 
 
 @query(f""", {_SPAWNS}, p AS (SELECT DISTINCT pathgrid AS gridid, zone_id AS zoneid FROM spawns WHERE pathgrid > 0)
  SELECT e.zoneid, e.gridid, count(*) AS points, arg_min(e.x, e.number) AS first_x, arg_max(e.x, e.number) AS last_x, max(CASE WHEN g.type BETWEEN 0 AND 9 AND g.type2 BETWEEN 0 AND 2 THEN g.type END) AS type FROM grid_entries e JOIN p USING (gridid, zoneid) LEFT JOIN grid g ON g.id = e.gridid AND g.zoneid = e.zoneid GROUP BY e.zoneid, e.gridid""", *_PLACES, "spawngroup", "grid", "grid_entries")
 def npc_paths(t):
-    walks = L.paths_of(L.spawn_locations(_MINE, t, CONFIG), t)
+    walks = L.paths_of(L.spawn_locations(_mine(), t, CONFIG), t)
     return walks.select("zoneid", "gridid", F.size("points").cast("long").alias("points"), F.get("points", F.lit(0))["x"].alias("first_x"), F.element_at("points", -1)["x"].alias("last_x"), "type")
 
 
