@@ -76,7 +76,7 @@ def test_scalars(spark):
 
     row = spark.range(1).select(
         S.expand_template(F.lit("#1 and #12"), [F.lit(i) for i in range(1, 13)]).alias("template"), S.finite(F.lit("x")).alias("bad"), S.finite(F.lit("1.5")).alias("good"),
-        S.min_usable_level(F.array(F.lit(0), F.lit(255), F.lit(9))).alias("level"), S.label_confidence(F.lit("old gate"), F.lit("gate road")).alias("confidence"), S.label_confidence(F.lit("old gate"), F.lit("old gates")).alias("close"), S.label_confidence(F.lit(""), F.lit("")).alias("blank"), S.mask_labels(F.lit(65536), {1: "A"}, 65535).alias("mask"), S.roam_box(*[F.lit(0.0)] * 4).alias("box"),
+        S.min_usable_level(F.array(F.lit(0), F.lit(255), F.lit(9))).alias("level"), S.label_confidence(F.lit("old gate"), F.lit("gate road")).alias("confidence"), S.label_confidence(F.lit("old gate"), F.lit("odd gate")).alias("close"), S.label_confidence(F.lit(""), F.lit("")).alias("blank"), S.mask_labels(F.lit(65536), {1: "A"}, 65535).alias("mask"), S.roam_box(*[F.lit(0.0)] * 4).alias("box"),
         S.strip_prefix(F.lit("TO Freeport"), "to").alias("label"), S.bracketed(F.lit("[1,2] go [x]")).alias("steps"),
     ).first()
     assert tuple(row) == ("1 and 12", None, 1.5, 9, 0, 1, 0, "", None, "Freeport", ["1,2", "x"])
@@ -152,3 +152,11 @@ def test_chain_of_any_length(spark):
     nodes = spark.range(1, 1101).selectExpr("id", "if(id < 1100, id + 1, 0) as next_id").union(spark.createDataFrame([(2000, 2001), (2001, 2002), (2002, 2003), (2003, 2001), (2004, 9999)], "id long, next_id long"))
     got = sorted((r.start, r.id, r.ordinal) for r in chain_ranks(nodes, nodes.filter("id in (1, 2000, 2004)")).collect())
     assert got == [(1, k, k) for k in range(1, 1101)] + [(2000, 2000 + k, k + 1) for k in range(4)] + [(2004, 2004, 1)]
+
+
+def test_natural_keys_of_long_numbers(spark):
+    from skein.functions import scalar as S
+
+    labels = ["z 5", "z 05b", "z 9999999999999", "z 10000000000000", "a", "z 12"]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string")
+    assert [r.label for r in rows.orderBy(S.natural_key(rows["label"])).collect()] == ["a", "z 5", "z 05b", "z 12", "z 9999999999999", "z 10000000000000"]
