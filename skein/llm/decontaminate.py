@@ -7,14 +7,12 @@ Search. An item of n words is looked for by windows of its own size, less the wo
 (a leak at 0.8 loses at most a ninth of the n - 4 shingles) and HOP - 1 words (window_of). Documents give windows of
 every such size at every HOP-th word, items at every word, so of a leak changed at its ends only, one window stands at
 the same words in both. Windows are compared by SimHash: 64 bits, each the majority over the hashes of the window's
-words, from running sums, one pass over the words for every distinct size. Fingerprints are cut into blocks: any two
+words, from running sums of stretches of a document. Stretches without any shingle of an item in reach are left out
+before: a window there has similarity 0 with every item. Fingerprints are cut into blocks: any two
 within Hamming distance RADIUS agree on all but RADIUS of them, so an index over every choice of that many blocks
 finds all of these. Changed words inside a window cost a few bits each, which the radius covers in part (README has
 the recall). Each hit lines the item up with a window, which is then compared exactly, also shifted by up to SHIFT words.
 
-Running sums have no form among DataFrame functions that meets the limits (README has figures), so windows are made
-from the words' hashes in Arrow batches; words, index, Hamming join and comparison are DataFrame functions.
-
 Defined cases: a null text is empty; texts and items without a word match nothing; an item with fewer than five words
 is one shingle, its whole sequence; texts and items of any length are taken whole; items of equal text leak
 separately; rows that repeat an id count as one document, which leaks an item if any of them does; rows of an item id
@@ -25,13 +23,10 @@ whatever their names, stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.shared import jit_sized_methods, let, saved
@@ -50,8 +45,8 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-#: Words of documents whose windows are made at once.
-RUN = 1 << 16
+#: Words of a stretch of a document, at least; it is as long as the longest item if that is longer.
+STRETCH = 256
 
 
 def window_of(n: Column) -> Column:
@@ -107,12 +102,11 @@ def similarity(a: Column, b: Column) -> Column:
     return let(b, lambda x: F.when(a == x, F.lit(1.0)).otherwise(let(both(x), lambda m: m / F.greatest(F.size(a) + F.size(x) - m, F.lit(1)))))
 
 
-def index_of(items: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+def index_of(items: DataFrame, width: int) -> tuple[DataFrame, dict[int, int]]:
     """Fingerprints of the items' windows (item_id, size, at, fp), and how many there are of every size."""
     n = F.size("hashes")
     rows = items.withColumn("size", window_of(n)).withColumn("at", F.explode(F.sequence(F.lit(0), n - F.col("size"))))
     counts = {r[0]: r[1] for r in rows.groupBy("size").count().collect()}  # as many as the items have distinct lengths
-    width = lane_width(max(counts, default=1))
     return saved(rows.select("item_id", "size", "at", simhash(F.slice("hashes", F.col("at") + 1, F.col("size")), F.col("size"), width).alias("fp"))), counts
 
 
@@ -120,124 +114,111 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fold(bits: np.ndarray) -> np.ndarray:
-    """16 bits that stand for masked bits of fingerprints."""
-    return ((bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+def grams(docs: DataFrame, k: int) -> DataFrame:
+    """Every k-word shingle of rows with as many words, and its place; in generated code, as all words of all documents pass here."""
+    rows = docs.filter(F.size("hashes") >= k).select("*", F.explode(F.sequence(F.lit(0), F.size("hashes") - k)).alias("place"))
+    return rows.select(rows.columns[0], "place", F.xxhash64(*(F.get("hashes", F.col("place") + i) for i in range(k))).alias("shingle"))
+
 
+def places(docs: DataFrame, items: DataFrame, few: bool, stretch: int, reach: int) -> DataFrame:
+    """Stretches (doc_id, stretch) within reach of a shingle that an item has; a leak shares one, so it lies in such stretches whole.
 
-def fingerprints(hashes: np.ndarray, size: int, width: int, sums: np.ndarray, hop: int) -> np.ndarray:
-    """SimHashes of the windows of some words at every hop-th place; sums: running sums of the hashes' lanes, for every bit of a lane."""
-    mask, raised = np.uint64(lane_mask(width)), np.uint64(lane_mask(width) * ((1 << (width - 2)) - 1 - size // 2))
-    out = np.zeros(max(0, (len(hashes) - size) // hop + 1), np.uint64)
-    for b in range(width):
-        total = sums[b, size::hop][: len(out)] - sums[b, ::hop][: len(out)]
-        out |= (((total + raised) >> np.uint64(width - 2)) & mask) << np.uint64(b)
-    return out
+    docs: doc_id, hashes. items: hashes. few: whether to broadcast the items' shingles.
+    """
+    lengths = [r[0] for r in items.select(F.least(F.size("hashes"), F.lit(SHINGLE))).distinct().collect()]  # 1 to SHINGLE
+    needles = [grams(items.filter(F.size("hashes") == k if k < SHINGLE else F.size("hashes") >= k), k) for k in lengths]
+    needles = reduce(DataFrame.unionByName, needles).select("shingle").distinct()
+    needles = F.broadcast(needles) if few else needles
+    rows = [grams(docs, k) for k in lengths]
+    near = reduce(DataFrame.unionByName, rows).join(needles, "shingle", "left_semi")
+    of = lambda place: F.floor(F.greatest(place, F.lit(0)) / stretch).cast("int")
+    return near.select("doc_id", of(F.col("place") - reach).alias("first"), of(F.col("place") + reach).alias("last")).distinct().select("doc_id", F.explode(F.sequence("first", "last")).alias("stretch")).distinct()
 
 
-def windows(docs: DataFrame, sizes: list[int], hop: int, choices: list[int], taken: np.ndarray) -> DataFrame:
-    """The windows of documents that share a block choice with an item's: doc_id, place, size, number, bits, doc_fp.
+def running_sums(docs: DataFrame, near: DataFrame, stretch: int, most: int, width: int) -> DataFrame:
+    """For every near stretch of every row: doc_id, own (words in which windows begin), sums (before each word and after the last).
 
-    taken: for every size and choice, which of 65536 folded values items have.
+    most: words of the largest window, by which a stretch reaches beyond its own words.
     """
-    width = lane_width(max(sizes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            # stretches of documents: row, first word and words in which windows begin; a long document has several
-            stretches, words = [], 0
-            for row in range(len(ids)):
-                for first in range(limits[row], limits[row + 1], RUN):
-                    stretches.append((row, first, min(RUN, limits[row + 1] - first)))
-                    words += stretches[-1][2]
-                    if words >= RUN:
-                        yield _run(ids, stretches, limits, values)
-                        stretches, words = [], 0
-            if stretches:
-                yield _run(ids, stretches, limits, values)
-
-    def _run(ids: pa.Array, stretches: list[tuple[int, int, int]], limits: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        row, first, own = (np.array(x) for x in zip(*stretches, strict=True))
-        n = np.minimum(own + max(sizes) - 1, limits[row + 1] - first)  # windows reach beyond the words in which they begin
-        begin = np.concatenate([[0], np.cumsum(-(-n // hop) * hop)])  # every stretch begins at a place
-        words = np.zeros(begin[-1], np.uint64)
-        for at, a, size in zip(begin, first, n, strict=False):
-            words[at : at + size] = values[a : a + size]
-        sums = np.zeros((width, len(words) + 1), np.uint64)
-        for b in range(width):
-            np.cumsum((words >> np.uint64(b)) & np.uint64(lane_mask(width)), out=sums[b, 1:])
-        places = np.arange(0, len(words), hop)
-        of = np.searchsorted(begin, places, "right") - 1
-        room = np.where(places - begin[of] < own[of], begin[of] + n[of] - places, 0)
-        place, doc = places - begin[of] + (first - limits[row])[of], row[of]
-        found: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for k, size in enumerate(sizes):
-            fp = fingerprints(words, size, width, sums, hop)
-            whole = room[: len(fp)] >= size
-            for i, m in enumerate(choices):
-                bits = fp & np.uint64(m)
-                hit = np.flatnonzero(taken[k, i][fold(bits)] & whole)
-                for column, x in zip(found, (doc[hit], place[hit], np.full(len(hit), size), np.full(len(hit), i), bits[hit].view(np.int64), fp[hit].view(np.int64)), strict=True):
-                    column.append(x)
-        doc_at, *rest = (np.concatenate(x) for x in found)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc_at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "place", "size", "number", "bits", "doc_fp"])
-
-    return docs.select("doc_id", "hashes").mapInArrow(run, "doc_id long, place int, size int, number int, bits long, doc_fp long")
-
-
-def candidates(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    begin = F.col("stretch") * stretch + 1
+    cut = docs.join(near, "doc_id").select("doc_id", "stretch", F.slice("hashes", begin, stretch + most).alias("part")).filter(F.size("part") > 0)
+    cut = saved(cut.withColumn("row", F.monotonically_increasing_id()))
+    words = cut.select("row", "doc_id", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.col("part"))).alias("at", "hash"))
+    # as many tasks as the session has for shuffles: the rows are few, the windows made of them many
+    words = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    so_far = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = words.select("row", "doc_id", "at", *(F.sum(lanes(F.col("hash"), b, width)).over(so_far).alias(f"s{b}") for b in range(width)))
+    lists = summed.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", *(f"s{b}" for b in range(width))))).alias("sums"))
+    # what begins in the next stretch's words is that one's, or shares no shingle with an item
+    return lists.join(cut.select("row", (F.col("stretch") * stretch).alias("before")), "row").select("doc_id", "before", F.least(F.size("sums") - 1, F.lit(stretch)).alias("own"), "sums")
+
+
+def windows(sums: DataFrame, sizes: list[int], hop: int, choices: list[int], width: int) -> DataFrame:
+    """The windows of stretches at every hop-th word, once a block choice: doc_id, place, size, number, bits, doc_fp."""
+    # pairs of sums lie side by side before they become rows, so no row carries a whole stretch
+    every = lambda x: F.filter(x, lambda _, i: i % hop == 0)
+    rows = sums.select("doc_id", "before", "sums", F.slice(every(F.col("sums")), 1, F.ceil(F.col("own") / hop).cast("int")).alias("begin"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size")).filter(F.col("size") < F.size("sums"))
+    ends = F.slice(every(F.slice(F.col("sums"), F.col("size") + 1, F.size("sums"))), 1, F.size("begin")).alias("end")
+    rows = rows.select("doc_id", "before", "size", F.posexplode(F.arrays_zip(F.col("begin").alias("y"), ends)).alias("at", "pair")).filter(F.col("pair.end").isNotNull())
+    rows = rows.select("doc_id", (F.col("before") + F.col("at") * hop).alias("place"), "size", F.col("pair.end").alias("x"), F.col("pair.y").alias("y"))
+    fp = majority([F.col(f"x.s{b}") - F.col(f"y.s{b}") for b in range(width)], F.col("size"), width)
+    rows = rows.select("doc_id", "place", "size", fp.alias("doc_fp"))
+    return rows.select("*", F.posexplode(blocks(F.col("doc_fp"), choices)).alias("number", "bits"))
+
+
+def blocks(fp: Column, choices: list[int]) -> Column:
+    return F.array(*(fp.bitwiseAND(F.lit(signed(m))) for m in choices))
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", words(F.col("text")).alias("hashes"))
+
+
+def candidates(texts: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Places (doc_id, item_id, start) at which a document's window is within the radius of an item's at the same words.
 
-    docs: doc_id, hashes. items: item_id, hashes.
+    texts: doc_id, text. items: item_id, hashes.
     """
-    index, counts = index_of(items)
-    if not counts:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).filter(F.lit(False))
+    total, longest = items.agg(F.sum(F.size("hashes")), F.max(F.size("hashes"))).first()
+    if not total:
+        return texts.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).filter(F.lit(False))
+    stretch = max(STRETCH, longest + longest % HOP)  # so windows reach into the next stretch only; even, so that places are the same in all
+    width = lane_width(2 * stretch)
+    index, counts = index_of(items, width)
     choices = masks(next(p for most, p in PARTS if max(counts.values()) <= most))
-    keyed = index.select("item_id", "size", "at", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in choices))).alias("number", "bits"))
-    keyed = saved(keyed)
+    keyed = saved(index.select("item_id", "size", "at", "fp", F.posexplode(blocks(F.col("fp"), choices)).alias("number", "bits")))
+    near = saved(places(hashed(texts), items, total <= BROADCAST_WORDS, stretch, longest))
+    few = near.count() <= BROADCAST_DOCS
+    ids = near.select("doc_id").distinct()
+    # the texts with a near stretch alone are read again
+    docs = hashed(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    sums = saved(running_sums(docs, F.broadcast(near) if few else near, stretch, max(counts), width))
     found = []
     tiny = [n for n in counts if n < 7]  # items of fewer than seven words are looked for at every word
     for hop, sizes in ((HOP, sorted(set(counts) - set(tiny))), (1, sorted(tiny))):
         if not sizes:
             continue
         mine = keyed.filter(F.col("size").isin(sizes))
-        # which folded values items have: 65536 bits for every size and choice, whatever the items
-        taken = np.zeros((len(sizes), len(choices), 1 << 16), bool)
-        some = mine.select("size", "number", "bits").distinct()
-        for r in _folded(some).collect():
-            taken[sizes.index(r["size"]), r["number"], r["value"]] = True
-        rows = windows(docs, sizes, hop, choices, taken)
         few = sum(counts[n] for n in sizes) * len(choices) <= BROADCAST_INDEX
+        rows = windows(sums, sizes, hop, choices, width)
         met = rows.join(F.broadcast(mine) if few else mine, ["size", "number", "bits"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("doc_fp"))) <= radius)
         found.append(met.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("start")))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _folded(keys: DataFrame) -> DataFrame:
-    """The distinct folded values of a size and choice, at most 65536 of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fold(batch.column(2).to_numpy().view(np.uint64)).astype(np.int32))], names=["size", "number", "value"])
-
-    return keys.mapInArrow(run, "size int, number int, value int").distinct()
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row a leaking pair: doc_id, item_id, start (word at which the best window begins), similarity."""
     jit_sized_methods(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("hashes")).filter(F.size("hashes") > 0)
     items = saved(items)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = saved(candidates(texts.select("doc_id", words(F.col("text")).alias("hashes")), items, radius))
+    hits = saved(candidates(texts, items, radius))
     ids = hits.select("doc_id").distinct()
     # the texts of hit documents alone are read again; their ids are broadcast if they are few
     few = ids.count() <= BROADCAST_DOCS
     hit_texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    rows = hit_texts.select("doc_id", words(F.col("text")).alias("hashes")).join(hits, "doc_id")
+    rows = hashed(hit_texts).join(hits, "doc_id")
     wanted = items.select("item_id", F.col("hashes").alias("item"), shingles(F.col("hashes")).alias("item_shingles"))
     rows = rows.join(F.broadcast(wanted) if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_WORDS else wanted, "item_id")
     reach = F.greatest(F.col("start") - SHIFT, F.lit(0))

@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from skein.llm import decontaminate as D
@@ -72,17 +71,17 @@ def test_radius_finds_what_equal_fingerprints_lose(spark, planted):
     assert equal < near
 
 
-def test_running_sums_give_the_majority():
-    rng = np.random.default_rng(3)
-    hashes = rng.integers(0, 1 << 64, 400, np.uint64, endpoint=False)
-    for size, width in ((5, 8), (60, 8), (127, 8), (200, 16)):
-        sums = np.zeros((width, len(hashes) + 1), np.uint64)
-        for b in range(width):
-            np.cumsum((hashes >> np.uint64(b)) & np.uint64(D.lane_mask(width)), out=sums[b, 1:])
-        got = D.fingerprints(hashes, size, width, sums, 2)
-        for k, fp in enumerate(got[:20]):
-            bits = [(hashes[2 * k : 2 * k + size] >> np.uint64(j)) & np.uint64(1) for j in range(64)]
-            assert int(fp) == sum(1 << j for j, x in enumerate(bits) if int(x.sum()) > size // 2)
+def test_running_sums_give_the_majority(spark):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) for _ in range(700)]
+    docs = spark.createDataFrame([(1, [h - (1 << 64) if h >> 63 else h for h in hashes])], "doc_id long, hashes array<long>")
+    near = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, stretch int")
+    sums = D.running_sums(docs, near, 256, 200, 16)
+    rows = D.windows(sums, [5, 60, 127, 200], 2, [(1 << 64) - 1], 16).collect()
+    assert sorted((r["place"], r["size"]) for r in rows) == sorted((p, n) for p in range(0, 512, 2) for n in (5, 60, 127, 200) if p + n <= 700)
+    for r in rows:
+        bits = [sum(h >> j & 1 for h in hashes[r["place"] : r["place"] + r["size"]]) > r["size"] // 2 for j in range(64)]
+        assert r["doc_fp"] & ((1 << 64) - 1) == sum(1 << j for j, x in enumerate(bits) if x) and r["bits"] == r["doc_fp"]
 
 
 def test_block_choices_meet_within_the_radius():
@@ -99,7 +98,7 @@ def test_block_choices_meet_within_the_radius():
 
 def test_long_texts_and_long_items(spark, monkeypatch):
     """Stretches of a long text meet without a gap; items beyond 127 words have wider lanes."""
-    monkeypatch.setattr(D, "RUN", 64)
+    monkeypatch.setattr(D, "STRETCH", 64)
     rng = random.Random(5)
     pool = [f"v{i}" for i in range(5000)]
     text = rng.choices(pool, k=1500)
