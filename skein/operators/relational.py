@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which the smaller side of a join is broadcast.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count finds few rows, so that many rows of few keys are not dealt out by these; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def mark(df: DataFrame, other: DataFrame, on: str, name: str) -> DataFrame:
     """df with a boolean: does other have the key. One join on distinct keys."""
     keys = other.select(F.col(on)).distinct().withColumn(name, F.lit(True))

@@ -288,7 +288,7 @@ def item_top_droppers(t):
 
 @query(f", {_DROPS} SELECT item_id, short_name, CAST(version AS INTEGER) AS version, string_agg(npc, '; ' ORDER BY npc) AS npcs, max(chance) AS best FROM (SELECT item_id, short_name, version, npc, max(chance) AS chance FROM drops GROUP BY ALL) GROUP BY item_id, short_name, version", *_LOOT)
 def item_drops_by_zone(t):
-    rows = D.drops_by_zone(D.drops(t, CONFIG))
+    rows = D.drops_by_zone(t, CONFIG)
     return rows.select("item_id", "short_name", F.col("version").cast("int").alias("version"), F.array_join(F.transform("npcs", lambda x: x["npc"]), "; ").alias("npcs"), F.array_max(F.transform("npcs", lambda x: x["chance"])).alias("best"))
 
 

@@ -18,6 +18,34 @@ def npc_zones(t, settings: Settings) -> DataFrame:
     return t("spawnentry").select("spawngroupID", "npcID").join(s2, "spawngroupID").join(z, ["short_name", "version"]).drop("spawngroupID").distinct()
 
 
+def _drop_entries(t) -> DataFrame:
+    """(item_id, lootdrop_id, base) of every drop table, an item's rows together."""
+    return t("lootdrop_entries").select("item_id", "lootdrop_id", F.col("chance").alias("base")).repartition("item_id")
+
+
+def _carriers(t) -> DataFrame:
+    """(lootdrop_id, probability, npc_id, npc): NPCs by the drop tables that they have."""
+    npcs = t("npc_types").select(F.col("id").alias("npc_id"), S.clean_name(F.col("name")).alias("npc"), "loottable_id")
+    return t("loottable_entries").join(npcs, "loottable_id").select("lootdrop_id", "probability", "npc_id", "npc").distinct()
+
+
+def drops_by_zone(t, settings: Settings = Settings()) -> DataFrame:
+    """One row an item and zone: NPCs by name, each once, with the best chance in percent over both tables.
+
+    Drop tables are joined to the numbered names in zones, not to each NPC, and an item's rows are dealt out once and stay together.
+    """
+    place = ["short_name", "version", "long_name"]
+    spots = _carriers(t).join(npc_zones(t, settings).withColumnRenamed("npcID", "npc_id"), "npc_id").select("lootdrop_id", "probability", F.struct("npc", *place).alias("name")).distinct()
+    names = R.ranked(spots.select("name").distinct(), [F.col("name")], "spot")
+    names = names.withColumn("zone", F.min("spot").over(Window.partitionBy(*(f"name.{c}" for c in place))))
+    sold = spots.join(names, "name").select("lootdrop_id", "probability", "spot")
+    rows = _drop_entries(t).sortWithinPartitions("item_id").join(R.few(sold), "lootdrop_id")
+    once = rows.groupBy("item_id", "spot").agg(F.max(F.col("base") * F.col("probability") / 100).alias("chance"))
+    once = once.join(R.few(names.select("spot", "zone", "name.npc")), "spot")
+    lists = once.groupBy("item_id", "zone").agg(F.array_sort(F.collect_list(F.struct("npc", "chance"))).alias("npcs"))
+    return lists.join(R.few(names.filter("spot = zone").select("zone", *(f"name.{c}" for c in place))), "zone").select("item_id", *place, "npcs")
+
+
 def drops(t, settings: Settings = Settings()) -> DataFrame:
     """(item_id, npc_id, npc, short_name, version, long_name, chance): where an item drops, chance in percent over both tables.
 
@@ -29,12 +57,6 @@ def drops(t, settings: Settings = Settings()) -> DataFrame:
     return tables.join(npcs, "loottable_id").join(zones, "npc_id").select("item_id", "npc_id", "npc", "short_name", "version", "long_name", "chance").distinct()
 
 
-def drops_by_zone(found: DataFrame) -> DataFrame:
-    """One row an item and zone: NPCs by name, each once."""
-    once = found.groupBy("item_id", "short_name", "version", "long_name", "npc").agg(F.max("chance").alias("chance"))
-    return once.groupBy("item_id", "short_name", "version", "long_name").agg(F.array_sort(F.collect_list(F.struct("npc", "chance"))).alias("npcs"))
-
-
 def top_droppers(found: DataFrame, most: int = 10) -> DataFrame:
     """The NPCs of best chance of every item, each NPC once."""
     once = found.groupBy("item_id", "npc_id", "npc").agg(F.max("chance").alias("chance"))

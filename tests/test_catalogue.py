@@ -160,3 +160,43 @@ def test_natural_keys_of_long_numbers(spark):
     labels = ["z 5", "z 05b", "z 9999999999999", "z 10000000000000", "a", "z 12"]
     rows = spark.createDataFrame([(x,) for x in labels], "label string")
     assert [r.label for r in rows.orderBy(S.natural_key(rows["label"])).collect()] == ["a", "z 5", "z 05b", "z 12", "z 9999999999999", "z 10000000000000"]
+
+
+@pytest.fixture(scope="module")
+def loot(spark):
+    """Catalogue tables with repeated rows, tables of several probabilities and NPCs of several tables."""
+    rows = {
+        "npc_types": ([(i, f"#a_{'xyz'[i % 3]}{i}", 1 + i % 4, i % 9, None if i == 7 else 10 + i % 3) for i in range(60)] + [(5, "#a_q5", 2, 3, 20)], "id long, name string, loottable_id long, npc_spells_id long, level int"),
+        "loottable_entries": ([(i, d, p) for i in range(1, 5) for d, p in ((i, 50.0), (9, 25.0 * i), (8, None))] + [(1, 1, 80.0)], "loottable_id long, lootdrop_id long, probability double"),
+        "lootdrop_entries": ([(d, item, float(item * d % 5 * 10)) for d in (1, 2, 3, 4, 8, 9) for item in range(12) if (item + d) % 3], "lootdrop_id long, item_id long, chance double"),
+        "spawnentry": ([(i, i) for i in range(60) if i % 5] + [(2, i) for i in range(60)] + [(61, 3)] * 2, "spawngroupID long, npcID long"),
+        "spawn2": ([(i, "one" if i % 2 else "two", i % 3 % 2) for i in range(62)], "spawngroupID long, zone string, version int"),
+        "zone": ([(1, 1, "one", "The One", 0), (2, 1, "one", "The One", 1), (3, 2, "two", "The Two", 0)], "id long, zoneidnumber long, short_name string, long_name string, version int"),
+        "npc_spells": ([(i, 4 if i == 2 else 0) for i in range(6)], "id long, parent_list long"),
+        "npc_spells_entries": ([(i % 6, s, 9 + s % 4, 11 + s % 3) for i in range(12) for s in range(20)], "npc_spells_id long, spellid long, minlevel int, maxlevel int"),
+    }
+    tables = {k: spark.createDataFrame(*v) for k, v in rows.items()}
+    tables["zone"] = tables["zone"].selectExpr("*", "0 expansion", "0 min_status", "cast(null as string) content_flags", "cast(null as string) content_flags_disabled")
+    return tables.__getitem__
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_drops_without_all_pairs_of_items_and_npcs(spark, loot, few, monkeypatch):
+    """Both forms, with a small side that is broadcast and one that is not, equal what the whole relation gives."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import relational
+    from skein.services import details as D
+
+    monkeypatch.setattr(relational, "FEW", few)
+    chances = loot("loottable_entries").join(loot("lootdrop_entries"), "lootdrop_id").withColumn("chance", F.expr("chance * probability / 100"))
+    npcs = loot("npc_types").select(F.col("id").alias("npcID"), "loottable_id", F.expr("replace(regexp_replace(name, '[#0-9]', ''), '_', ' ')").alias("npc"))
+    whole = [r.asDict() for r in chances.join(npcs, "loottable_id").join(D.npc_zones(loot, D.Settings()), "npcID").collect()]
+    best, zones = {}, {}
+    for r in whole:
+        for into, key in ((best, (r["item_id"], r["npcID"])), (zones, (r["item_id"], r["short_name"], r["version"], r["npc"]))):
+            into[key] = max((x for x in (into.get(key), r["chance"]) if x is not None), default=None)
+    got = {(r.item_id, r.short_name, r.version, x.npc): x.chance for r in D.drops_by_zone(loot).collect() for x in r.npcs}
+    assert got == zones
+    lists = D.drops_by_zone(loot).collect()
+    assert len({(r.item_id, r.short_name, r.version) for r in lists}) == len(lists) and all([x.npc for x in r.npcs] == sorted({x.npc for x in r.npcs}) for r in lists)
