@@ -283,7 +283,7 @@ _LOOT = (*_PLACES, "loottable_entries", "lootdrop_entries")
 
 @query(f", {_DROPS} SELECT item_id, npc_id, chance, position FROM (SELECT item_id, npc_id, max(chance) AS chance, row_number() OVER (PARTITION BY item_id ORDER BY max(chance) DESC, npc_id) AS position FROM drops GROUP BY item_id, npc_id) WHERE position <= 10", *_LOOT)
 def item_top_droppers(t):
-    return D.top_droppers(D.drops(t, CONFIG)).select("item_id", "npc_id", "chance", F.col("position").cast("long").alias("position"))
+    return D.top_droppers(t, CONFIG).select("item_id", "npc_id", "chance", F.col("position").cast("long").alias("position"))
 
 
 @query(f", {_DROPS} SELECT item_id, short_name, CAST(version AS INTEGER) AS version, string_agg(npc, '; ' ORDER BY npc) AS npcs, max(chance) AS best FROM (SELECT item_id, short_name, version, npc, max(chance) AS chance FROM drops GROUP BY ALL) GROUP BY item_id, short_name, version", *_LOOT)

@@ -46,21 +46,24 @@ def drops_by_zone(t, settings: Settings = Settings()) -> DataFrame:
     return lists.join(R.few(names.filter("spot = zone").select("zone", *(f"name.{c}" for c in place))), "zone").select("item_id", *place, "npcs")
 
 
-def drops(t, settings: Settings = Settings()) -> DataFrame:
-    """(item_id, npc_id, npc, short_name, version, long_name, chance): where an item drops, chance in percent over both tables.
+def top_droppers(t, settings: Settings = Settings(), most: int = 10) -> DataFrame:
+    """(item_id, npc_id, npc, chance, position): the NPCs of best chance of every item, each NPC once, of those that spawn in open zones.
 
-    An NPC drops an item with its best chance, whatever the tables it has.
+    NPCs that have a drop table with one probability drop its items with one chance, so the first of them stand for all;
+    and an item's tables of less chance than one with enough NPCs have no say.
     """
-    tables = t("loottable_entries").join(t("lootdrop_entries"), "lootdrop_id").groupBy("loottable_id", "item_id").agg(F.max(F.col("chance") * F.col("probability") / 100).alias("chance"))
-    npcs = t("npc_types").select(F.col("id").alias("npc_id"), S.clean_name(F.col("name")).alias("npc"), "loottable_id")
-    zones = npc_zones(t, settings).withColumnRenamed("npcID", "npc_id")
-    return tables.join(npcs, "loottable_id").join(zones, "npc_id").select("item_id", "npc_id", "npc", "short_name", "version", "long_name", "chance").distinct()
-
-
-def top_droppers(found: DataFrame, most: int = 10) -> DataFrame:
-    """The NPCs of best chance of every item, each NPC once."""
-    once = found.groupBy("item_id", "npc_id", "npc").agg(F.max("chance").alias("chance"))
-    return R.top_k(once, ["item_id"], [F.col("chance").desc(), F.col("npc_id")], most)
+    spawned = npc_zones(t, settings).select(F.col("npcID").alias("npc_id")).distinct()
+    carriers = _carriers(t).join(spawned, "npc_id", "left_semi").groupBy("lootdrop_id", "probability", "npc_id").agg(F.min("npc").alias("npc"))
+    firsts = R.top_k(carriers, ["lootdrop_id", "probability"], [F.col("npc_id")], most)
+    firsts = firsts.groupBy("lootdrop_id", "probability").agg(F.collect_list(F.struct("npc_id", "npc")).alias("npcs"))
+    firsts = R.few(firsts)
+    tables = firsts.select("lootdrop_id", "probability", (F.size("npcs") >= most).alias("enough"))
+    rows = _drop_entries(t).join(tables, "lootdrop_id").select("item_id", "lootdrop_id", "probability", (F.col("base") * F.col("probability") / 100).alias("chance"), "enough")
+    bar = F.max(F.when(F.col("enough"), F.col("chance"))).over(Window.partitionBy("item_id"))
+    rows = rows.withColumn("bar", bar).filter("bar is null or chance >= bar").drop("bar", "enough")
+    lists = firsts.select(F.col("lootdrop_id").alias("of"), F.col("probability").alias("with"), "npcs")
+    rows = rows.join(lists, (F.col("lootdrop_id") == F.col("of")) & F.col("probability").eqNullSafe(F.col("with"))).select("item_id", "chance", F.inline("npcs"))
+    return R.top_k(rows.groupBy("item_id", "npc_id").agg(F.max("chance").alias("chance"), F.min("npc").alias("npc")), ["item_id"], [F.col("chance").desc(), F.col("npc_id")], most)
 
 
 def sellers(t, settings: Settings = Settings()) -> DataFrame:

@@ -196,6 +196,13 @@ def test_drops_without_all_pairs_of_items_and_npcs(spark, loot, few, monkeypatch
     for r in whole:
         for into, key in ((best, (r["item_id"], r["npcID"])), (zones, (r["item_id"], r["short_name"], r["version"], r["npc"]))):
             into[key] = max((x for x in (into.get(key), r["chance"]) if x is not None), default=None)
+    for most in (3, 200):
+        want = []
+        for item in {i for i, _ in best}:
+            order = sorted(((c is None, -(c or 0.0), n) for (i, n), c in best.items() if i == item))[:most]
+            want += [(item, n, None if void else -c, k + 1) for k, (void, c, n) in enumerate(order)]
+        got = [(r.item_id, r.npc_id, r.chance, r.position) for r in D.top_droppers(loot, most=most).collect()]
+        assert sorted(got) == sorted(want) and len(want) > most
     got = {(r.item_id, r.short_name, r.version, x.npc): x.chance for r in D.drops_by_zone(loot).collect() for x in r.npcs}
     assert got == zones
     lists = D.drops_by_zone(loot).collect()
