@@ -109,11 +109,17 @@ def sources(t) -> DataFrame:
 
 
 def npc_spells(t) -> DataFrame:
-    """(npc_id, spellid) that an NPC can cast at its level; a list with a parent has the parent's spells instead of its own."""
+    """(npc_id, spellid) that an NPC can cast at its level; a list with a parent has the parent's spells instead of its own.
+
+    NPCs of equal lists and levels have equal spells: these are made distinct once for all of them, so the pairs need not be.
+    """
     lists = t("npc_spells").select(F.col("id").alias("npc_spells_id"), F.coalesce(F.nullif("parent_list", F.lit(0)), F.col("id")).alias("list"))
-    npcs = t("npc_types").select(F.col("id").alias("npc_id"), "npc_spells_id", "level").join(lists, "npc_spells_id")
+    npcs = t("npc_types").select(F.col("id").alias("npc_id"), "npc_spells_id", "level").filter("level is not null").join(lists, "npc_spells_id")
+    npcs = npcs.groupBy("npc_id").agg(F.sort_array(F.collect_set(F.struct("list", "level"))).alias("has"))
+    kinds = npcs.select("has").distinct().select("has", F.inline("has"))
     spells = t("npc_spells_entries").select(F.col("npc_spells_id").alias("list"), "spellid", "minlevel", "maxlevel")
-    return npcs.join(spells, "list").filter("level between minlevel and maxlevel").select("npc_id", "spellid").distinct()
+    known = spells.join(R.few(kinds), "list").filter("level between minlevel and maxlevel").select("has", "spellid").distinct()
+    return known.join(R.few(npcs), "has").select("npc_id", "spellid")
 
 
 def factions(t) -> DataFrame:

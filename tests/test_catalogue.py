@@ -207,3 +207,20 @@ def test_drops_without_all_pairs_of_items_and_npcs(spark, loot, few, monkeypatch
     assert got == zones
     lists = D.drops_by_zone(loot).collect()
     assert len({(r.item_id, r.short_name, r.version) for r in lists}) == len(lists) and all([x.npc for x in r.npcs] == sorted({x.npc for x in r.npcs}) for r in lists)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_spells_of_npcs_are_made_distinct_before_they_meet(spark, loot, few, monkeypatch):
+    """Repeated entries and an NPC of two rows; what is shuffled follows the lists and levels."""
+    from skein.operators import relational
+    from skein.services import details as D
+
+    monkeypatch.setattr(relational, "FEW", few)
+    lists = {r.id: r.parent_list or r.id for r in loot("npc_spells").collect()}
+    entries = loot("npc_spells_entries").collect()
+    want = {(n.id, e.spellid) for n in loot("npc_types").collect() if n.npc_spells_id in lists and n.level for e in entries if e.npc_spells_id == lists[n.npc_spells_id] and e.minlevel <= n.level <= e.maxlevel}
+    found = D.npc_spells(loot)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top  # nothing is made distinct after the last join
