@@ -15,10 +15,11 @@ and as an n-gram spoils one segment only, linked sets have so many keys and one
 out before anything is compared (_enough). No key depends on how frequent an n-gram is, and a common passage makes
 two texts meet only where a whole segment of both lies in it.
 
-Links. In every bucket of a key all members are first compared with one of them, the pivot; where a bucket
+Links. Every bucket of a key has a pivot. Each document is first compared with the heaviest pivot of its buckets
+alone, which makes a row a document; then with the pivots that still lie in another component than it. Where a bucket
 then still spans several components, members of different ones are compared, but for pairs whose unshared
-n-grams alone rule a link out. So a group of G texts does not cost
-G * G comparisons, every pair that may link two components is compared exactly, and no bucket is cut short.
+n-grams alone rule a link out. So a group of G texts that link does not cost G * G comparisons, nor G for each
+of its pivots; every pair that may link two components is compared exactly, and no bucket is cut short.
 
 Copies (equal sets) are one class and join a component through it; their pairs are never listed.
 
@@ -235,8 +236,7 @@ def components(docs: DataFrame, *, size: int = 5, numerator: int = 80, id_col: s
     members = saved(members.join(names, "doc_id").select("key", F.col("head").alias("doc_id"), "n", "scheme").distinct())
     members = saved(_with_pivots(_enough(members)))
 
-    first = saved(_verify(docs, members.filter("doc_id <> pivot").select("pivot", "doc_id"), "pivot", "doc_id", sketches, size, numerator))
-    found = connect(first)
+    first, found = _with_their_pivots(docs, members, sketches, size, numerator)
     rest = _across(docs, members, found, size, numerator)
     if not rest.isEmpty():
         second = _verify(docs, rest, "a", "b", sketches, size, numerator)
@@ -341,13 +341,37 @@ def _enough(members: DataFrame) -> DataFrame:
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
-    """Adds each bucket's pivot: the member that meets most others over all its buckets, so the least edited of a group."""
+    """Adds each bucket's pivot, its size and its weight: the member that meets most others over all its buckets, so the least edited of a group."""
     crowds = members.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     members = members.join(crowds, "key")
     weights = members.groupBy("doc_id").agg(F.round(F.sum(F.log2("crowd")), 6).alias("weight"))
     members = saved(members.join(weights, "doc_id").select("key", "doc_id", "n", "weight"))
-    pivots = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"].alias("pivot")).select("key", (-F.col("pivot")).alias("pivot"))
-    return members.drop("weight").join(pivots, "key")
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"), "n")).alias("p"))
+    return members.drop("weight").join(pivots.select("key", (-F.col("p.id")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.weight").alias("pivot_weight")), "key")
+
+
+def _with_their_pivots(docs: DataFrame, members: DataFrame, sketches: DataFrame, size: int, numerator: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between members and pivots of their buckets, as many as join all components that these make; and those components.
+
+    A member that its heaviest pivot links with needs no comparison with the pivots that this one links with too.
+    """
+    pairs = members.filter("doc_id <> pivot")
+    # where rows of one id have several sets, n is that of one only
+    if sketches.filter("sketch is null").isEmpty():
+        pairs = pairs.filter(100 * F.least("n", "pivot_n") >= numerator * F.greatest("n", "pivot_n"))
+    pairs = saved(pairs.select("pivot", "doc_id", "pivot_weight").distinct())
+    best = pairs.groupBy("doc_id").agg((-F.max(F.struct("pivot_weight", (-F.col("pivot")).alias("id")))["id"]).alias("pivot"))
+    best = saved(best)
+    links = saved(_verify(docs, best, "pivot", "doc_id", sketches, size, numerator))
+    found = connect(links)
+    rest = pairs.join(best, ["doc_id", "pivot"], "left_anti")
+    for end in ("pivot", "doc_id"):
+        rest = rest.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left")
+    rest = saved(rest.filter(F.coalesce("pivot_component", "pivot") != F.coalesce("doc_id_component", "doc_id")).select("pivot", "doc_id"))
+    if rest.isEmpty():
+        return links, found
+    links = saved(links.unionByName(_verify(docs, rest, "pivot", "doc_id", sketches, size, numerator)))
+    return links, connect(links)
 
 
 def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, numerator: int) -> DataFrame:
@@ -391,7 +415,7 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, size: int, nu
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, sketches: DataFrame, size: int, numerator: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps of their segments are counted fragment by fragment and summed.
+    """The pairs (a, b) that link: overlaps of their segments are counted fragment by fragment and summed, in one row a pair.
 
     Pairs whose sizes are too far apart for a link, or whose sketches differ in more bits than linked sets differ
     in n-grams, are left out before.
@@ -410,21 +434,18 @@ def _verify(docs: DataFrame, pairs: DataFrame, a: str, b: str, sketches: DataFra
         owner = np.repeat(np.arange(len(ids)), np.diff(limits))
         cell = owner * FRAGMENTS + (grams >> np.uint64(60)).astype(np.int64)
         edges = np.searchsorted(cell, np.arange(len(ids) * FRAGMENTS + 1))
-        return [
-            np.repeat(ids, FRAGMENTS), np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(ids)), np.repeat(np.diff(limits).astype(np.int64), FRAGMENTS),
-            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(grams.view(np.int64))),
-        ]
+        segments = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(grams.view(np.int64)))
+        return [ids, np.diff(limits).astype(np.int64), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * FRAGMENTS, pa.int32()), segments)]
 
     # a document whose id repeats stands for its first class; other rows of the id have their own heads
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    segments = _scan(texts, size, cut, "doc_id long, fragment int, n long, segment array<long>", ["doc_id", "fragment", "n", "segment"])
+    segments = _scan(texts, size, cut, "doc_id long, n long, segments array<array<long>>", ["doc_id", "n", "segments"])
     segments = saved(segments)
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("an"), F.col("segment").alias("a_segment"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("bn"), F.col("segment").alias("b_segment"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"])
-    overlap = F.size(F.array_intersect("a_segment", "b_segment"))
-    summed = both.groupBy("a", "b", "an", "bn").agg(F.sum(overlap).alias("m"))
-    return summed.filter(100 * F.col("m") >= numerator * (F.col("an") + F.col("bn") - F.col("m"))).select("a", "b").distinct()
+    left = segments.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("segments").alias("a_segments"))
+    right = segments.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("segments").alias("b_segments"))
+    overlaps = F.zip_with("a_segments", "b_segments", lambda x, y: F.size(F.array_intersect(x, y)))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", F.aggregate(overlaps, F.lit(0), lambda m, x: m + x).alias("m"))
+    return both.filter(100 * F.col("m") >= numerator * (F.col("an") + F.col("bn") - F.col("m"))).select("a", "b").distinct()
 
 
 def connect(links: DataFrame) -> DataFrame:

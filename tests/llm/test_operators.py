@@ -72,6 +72,33 @@ def test_join_of_nothing(spark, docs):
     assert kept.columns == ["doc_id", "text", "lang", "key"] and kept.filter("doc_id in (9003, 9004)").count() == 1
 
 
+def test_join_of_an_id_that_repeats_one_text(spark):
+    """The overlap with a text that an id has several times is that with one of them: here 0.7, which is no link."""
+    words = [f"w{i}" for i in range(400)]
+    a, b = " ".join(words), " ".join(words[:330] + [f"x{i}" for i in range(70)])
+    rows = [(1, a), (1, a), (1, "another text of the same id"), (2, b), (3, a + " z")]
+    got = {r.doc_id: r.component_id for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_join_compares_a_group_with_one_pivot(spark, monkeypatch):
+    """Members that their heaviest pivot links with are not compared with the other pivots of their buckets, so a group makes a row a member."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[: 7 * k % 120] + [f"new{k % 40}"] + base[7 * k % 120 + 1 : 11 * k % 120] + [f"more{k % 3}"] * (k % 2) + base[max(11 * k, 7 * k + 1) % 120 :]) for k in range(20)]
+    texts += [" ".join(base[:k] + [f"a{k}"] + base[k + 1 : k + 40] + [f"b{k}"] + base[k + 41 :]) for k in range(60)]
+    rows, compared, verify = list(enumerate(texts)), [], ngram_join._verify
+
+    def counted(docs, pairs, *more):
+        compared.append(pairs.distinct().count())
+        return verify(docs, pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows, 5, 80)
+    assert got == want and max(Counter(c for _, c in want.values()).values()) >= 60
+    assert sum(compared) <= 2 * len(rows)
+
+
 def test_leaks(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     item = bench.first()
